@@ -16,6 +16,8 @@ investigation, and the amounts b are worked out afterwards from one row per inve
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from causeway import fixed_values as fv
@@ -126,17 +128,25 @@ def _restarts(terms: DataFrame, rounds: int, damping: float) -> DataFrame:
     return totals.select("investigation_id", "n", "links", amounts.alias("b"))
 
 
-def pagerank_rounds(
-    nodes: DataFrame,
-    edges: DataFrame,
-    rounds: int,
-    damping: float = fv.DAMPING,
-    hub: int = 1_000_000,
-) -> DataFrame:
-    """``(investigation_id, name, score)`` after a fixed number of rounds.
+def _scores_by_round(terms: DataFrame, rounds: int, damping: float) -> DataFrame:
+    """Scores of each node after 0, 1, .. ``rounds`` rounds, as the array ``x``."""
+    restarts = materialize(_restarts(terms, rounds, damping))
+    ys = F.array(*[F.col(f"y{t}") for t in range(rounds + 1)])
+    scores = F.transform(
+        F.sequence(F.lit(0), F.lit(rounds)),
+        lambda t: F.get(F.col("ys"), t)
+        + _dot(F.reverse(F.slice("b", F.lit(1), t)), F.slice("ys", F.lit(1), t)),
+    )
+    return (
+        terms.select(*_KEY, ys.alias("ys"))
+        .join(restarts, "investigation_id")
+        .select(*_KEY, "n", "links", scores.alias("x"))
+    )
 
-    An investigation without edges has the score 0 throughout.
-    """
+
+def _large_fixed(
+    nodes: DataFrame, edges: DataFrame, rounds: int, damping: float, hub: int
+) -> DataFrame:
     links = materialize(_links(nodes, edges))
     start = _start(links, damping)
     links, salts = _salted(links, start, hub)
@@ -148,82 +158,135 @@ def pagerank_rounds(
         "investigation_id",
         F.col("node").alias("name"),
         F.when(F.col("links") > 0, score).otherwise(F.lit(0.0)).alias("score"),
+        F.when(F.col("links") > 0, rounds).otherwise(0).alias("rounds"),
     )
 
 
-def pagerank(
+def _large_converged(
     nodes: DataFrame,
     edges: DataFrame,
-    damping: float = fv.DAMPING,
-    tolerance: float = fv.TOLERANCE,
-    max_rounds: int = fv.MAX_ROUNDS,
-    batch: int = 20,
-    hub: int = 1_000_000,
+    damping: float,
+    tolerance: float,
+    max_rounds: int,
+    batch: int,
+    hub: int,
 ) -> DataFrame:
-    """``(investigation_id, name, score, rounds)``, each investigation at its own stop.
-
-    An investigation stops at the first round that changes its scores by less than
-    ``N * tolerance`` in total. Rounds run in batches; after each, one number says how
-    many investigations still change.
-    """
+    """Rounds in batches; after each, one number says how many investigations still change."""
     links = materialize(_links(nodes, edges))
     terms = _start(links, damping)
     links, salts = _salted(links, terms, hub)
-    done = 0
-    while True:
+    done, unfinished = 0, 1
+    while unfinished and done < max_rounds:
         size = min(batch, max_rounds - done)
         more = materialize(_propagate(links, terms, salts, done, size))
-        terms = more if done == 0 else materialize(
-            terms.join(more.drop("share", "degree", f"y{done}"), _KEY)
-        )
-        done += size
+        if done:
+            more = materialize(terms.join(more.drop("share", "degree", f"y{done}"), _KEY))
+        terms, done = more, done + size
         scored = _scores_by_round(terms, done, damping)
-        errors = [
+        changes = [
             F.sum(F.abs(F.get("x", F.lit(t)) - F.get("x", F.lit(t - 1))))
             for t in range(1, done + 1)
         ]
+        settled = F.transform("changes", lambda c: c < F.col("n") * F.lit(tolerance))
         stops = materialize(
-            scored.groupBy("investigation_id")
-            .agg(F.max("n").alias("n"), F.max("links").alias("links"), F.array(*errors).alias("e"))
+            scored.groupBy("investigation_id", "n", "links")
+            .agg(F.array(*changes).alias("changes"))
             .select(
-                "investigation_id",
-                "links",
-                F.array_position(
-                    F.transform("e", lambda e: e < F.col("n") * F.lit(tolerance)), True
-                ).alias("stop"),
+                "investigation_id", "links", F.array_position(settled, True).cast("int").alias("stop")
             )
         )
-        open_count = stops.filter((F.col("links") > 0) & (F.col("stop") == 0)).count()
-        if open_count == 0 or done >= max_rounds:
-            break
-    if open_count:
-        raise RuntimeError(f"{open_count} investigations did not converge in {done} rounds")
+        unfinished = stops.filter((F.col("links") > 0) & (F.col("stop") == 0)).count()
+    if unfinished:
+        raise RuntimeError(f"{unfinished} investigations did not converge in {done} rounds")
+    linked = F.col("links") > 0
     return scored.drop("n", "links").join(stops, "investigation_id").select(
         "investigation_id",
         F.col("node").alias("name"),
-        F.when(F.col("links") > 0, F.get("x", F.col("stop").cast("int")))
-        .otherwise(F.lit(0.0))
-        .alias("score"),
-        F.when(F.col("links") > 0, F.col("stop")).otherwise(0).cast("int").alias("rounds"),
+        F.when(linked, F.get("x", F.col("stop"))).otherwise(F.lit(0.0)).alias("score"),
+        F.when(linked, F.col("stop")).otherwise(0).alias("rounds"),
     )
 
 
-def _scores_by_round(terms: DataFrame, rounds: int, damping: float) -> DataFrame:
-    """Scores of each node after 0, 1, .. ``rounds`` rounds, as the array ``x``."""
-    restarts = materialize(_restarts(terms, rounds, damping))
-    ys = F.array(*[F.col(f"y{t}") for t in range(rounds + 1)])
-    scores = F.transform(
-        F.sequence(F.lit(0), F.lit(rounds)),
-        lambda t: F.get(F.col("ys"), t)
-        + _dot(F.reverse(F.slice("b", F.lit(1), t)), F.slice("ys", F.lit(1), t)),
-    )
+def _small(
+    nodes: DataFrame,
+    edges: DataFrame,
+    rounds: int | None,
+    damping: float,
+    tolerance: float,
+    max_rounds: int,
+) -> DataFrame:
+    """One task step per investigation, for graphs whose size was checked."""
+
+    def scores(names: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        size = len(names)
+        x = np.zeros(size)
+        done = 0
+        if len(pairs):
+            place = pd.Index(names["name"])
+            cause, effect = place.get_indexer(pairs["source"]), place.get_indexer(pairs["target"])
+            degree = np.bincount(effect, minlength=size)
+            share = damping / np.maximum(degree, 1)
+            x = np.full(size, 1.0 / size)
+            for done in range(1, (rounds or max_rounds) + 1):
+                mass = np.bincount(cause, weights=(x * share)[effect], minlength=size)
+                restart = (1.0 - damping + damping * x[degree == 0].sum()) / size
+                change = np.abs(mass + restart - x).sum()
+                x = mass + restart
+                if rounds is None and change < size * tolerance:
+                    break
+            else:
+                if rounds is None:
+                    raise RuntimeError(f"no convergence in {max_rounds} rounds")
+        return names[["investigation_id", "name"]].assign(score=x, rounds=done)
+
+    pairs = edges.select("investigation_id", "source", "target").distinct()
     return (
-        terms.select(*_KEY, ys.alias("ys"))
-        .join(restarts, "investigation_id")
-        .select(*_KEY, "n", "links", scores.alias("x"))
+        nodes.select("investigation_id", "name")
+        .groupBy("investigation_id")
+        .cogroup(pairs.groupBy("investigation_id"))
+        .applyInPandas(scores, "investigation_id string, name string, score double, rounds int")
     )
 
 
+def pagerank(
+    nodes: DataFrame,
+    edges: DataFrame,
+    rounds: int | None = None,
+    damping: float = fv.DAMPING,
+    tolerance: float = fv.TOLERANCE,
+    max_rounds: int = fv.MAX_ROUNDS,
+    small: int = 1_000_000,
+    batch: int = 10,
+    hub: int = 1_000_000,
+) -> DataFrame:
+    """``(investigation_id, name, score, rounds)`` for all investigations.
+
+    Each investigation stops at the first round that changes its scores by less than
+    ``N * tolerance`` in total, or after a fixed number of ``rounds``. Without edges all
+    its scores are 0.
+
+    Graphs of up to ``small`` nodes and edges are solved whole, all after one shuffle.
+    Larger ones, if the count finds any, go through rounds of joins, where no task holds
+    a whole graph. Both compute the same numbers.
+    """
+    parts = nodes.select("investigation_id").unionByName(edges.select("investigation_id"))
+    sizes = parts.groupBy("investigation_id").agg(F.count("*").alias("size"))
+    large = materialize(sizes.filter(F.col("size") > small).select("investigation_id"))
+    if large.isEmpty():
+        return _small(nodes, edges, rounds, damping, tolerance, max_rounds)
+
+    def only(table: DataFrame, how: str) -> DataFrame:
+        return table.join(large, "investigation_id", how)
+
+    big = only(nodes, "left_semi"), only(edges, "left_semi")
+    if rounds is None:
+        result = _large_converged(*big, damping, tolerance, max_rounds, batch, hub)
+    else:
+        result = _large_fixed(*big, rounds, damping, hub)
+    rest = only(nodes, "left_anti"), only(edges, "left_anti")
+    return result.unionByName(_small(*rest, rounds, damping, tolerance, max_rounds))
+
+
 def ranked_nodes(
     scores: DataFrame, nodes: DataFrame, top: int, tie_break: str = "insertion"
 ) -> DataFrame:

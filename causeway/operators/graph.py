@@ -220,16 +220,14 @@ def edges_of(edges: DataFrame, selected: DataFrame) -> DataFrame:
 def _grams(lengths: list[int]) -> Column:
     """Distinct substrings of the given lengths of the lower-cased name."""
     lower = F.lower("name")
-    parts = [
-        F.when(
-            F.length("name") >= n,
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length("name") - (n - 1), F.lit(1))),
-                lambda i, n=n: F.substring(lower, i, F.lit(n)),
-            ),
+
+    def of_length(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(lower) - (n - 1), F.lit(1)))
+        return F.when(
+            F.length(lower) >= n, F.transform(starts, lambda i: F.substring(lower, i, F.lit(n)))
         ).otherwise(F.array().cast("array<string>"))
-        for n in lengths
-    ]
+
+    parts = [of_length(n) for n in lengths]
     return F.array_distinct(F.concat(*parts))
 
 
