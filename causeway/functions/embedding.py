@@ -1,4 +1,8 @@
-"""Embedders: functions ``Column -> Column`` that a caller can replace."""
+"""Embedders: functions ``Column -> Column`` that a caller can replace.
+
+They are marked as not deterministic, which keeps the optimizer from running them a second
+time for a filter on their result.
+"""
 
 from __future__ import annotations
 
@@ -43,7 +47,7 @@ def hashed_embedder(dim: int = fv.EMBEDDING_DIM) -> Embedder:
         for texts in batches:
             yield texts.map(vector)
 
-    return embed
+    return embed.asNondeterministic()
 
 
 def model_embedder(load: Callable[[], Callable[[list[str]], np.ndarray]]) -> Embedder:
@@ -64,7 +68,7 @@ def model_embedder(load: Callable[[], Callable[[list[str]], np.ndarray]]) -> Emb
             lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
             yield pd.Series(list(vectors / np.where(lengths == 0, 1.0, lengths)))
 
-    return embed
+    return embed.asNondeterministic()
 
 
 def embed_documents(df, embedder: Embedder, text: str = "text"):

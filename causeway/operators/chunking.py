@@ -117,6 +117,10 @@ def chunk_lines(
     pieces = placed.select(
         *keys, "total", F.explode(F.transform(F.sequence(first, last), piece)).alias("p")
     ).select(*keys, "total", "p.*")
+    # One shuffle with a stated number of partitions serves the grouping too. Chunks are
+    # small but the steps that follow are costly, so they must not be merged by size.
+    partitions = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = pieces.repartition(partitions, *keys, "chunk_index")
     joined = F.array_sort(F.collect_list(F.struct("at", "text")))
     return (
         pieces.groupBy(*keys, "chunk_index")

@@ -41,7 +41,7 @@ def dictionary_hits(chunks: DataFrame, word_boundary: bool = False) -> DataFrame
         "slots", dictionary_slots(F.col("lower"), word_boundary)
     )
     return (
-        slots.select("investigation_id", "chunk_id", F.posexplode("slots").alias("pos", "hit"))
+        slots.select("investigation_id", "chunk_id", F.posexplode_outer("slots").alias("pos", "hit"))
         .filter(F.col("hit").isNotNull())
         .select("investigation_id", "chunk_id", "pos", "hit.name", "hit.type")
     )
@@ -197,13 +197,15 @@ def extraction(chunks: DataFrame, responses: DataFrame | None = None) -> DataFra
 
 
 def _mentions(extracted: DataFrame, column: str, kind: int, fields: list[str]) -> DataFrame:
+    # The outer form, because for the inner one the optimizer adds a filter on the array's
+    # size below the projections and so computes the whole extraction several times.
     rows = extracted.select(
         "investigation_id",
         "doc_seq",
         "chunk_index",
         "chunk_id",
-        F.posexplode(column).alias("pos", "m"),
-    )
+        F.posexplode_outer(column).alias("pos", "m"),
+    ).filter(F.col("m").isNotNull())
     seq = F.struct(
         F.col("doc_seq").cast("bigint").alias("doc_seq"),
         F.col("chunk_index").cast("bigint").alias("chunk_index"),

@@ -186,6 +186,7 @@ def infer(
         for batch in batches:
             yield pd.DataFrame([answer(call, p) for p in batch], columns=["response", "error"])
 
-    return prompts.withColumn("r", run(F.col("prompt"))).select(
+    # Not deterministic, so that no prompt is sent twice for a filter on its response.
+    return prompts.withColumn("r", run.asNondeterministic()(F.col("prompt"))).select(
         *prompts.columns, "r.response", "r.error"
     )

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from causeway.sources.tables import spread
+
 # The phrase of a line, by phrase number.
 PHRASES = [
     "redis timeout caused connection pool exhaustion.",
@@ -33,9 +35,14 @@ def _phrase_number():
     return (F.col("event_id") % 4 + F.col("user_id") % INVESTIGATIONS) % len(PHRASES)
 
 
+def _events(spark: SparkSession, folder: str) -> DataFrame:
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    return spread(events.select("event_id", "ts", "user_id", "event_type"), "event_id")
+
+
 def incident_lines(spark: SparkSession, folder: str) -> DataFrame:
     """``(investigation_id, document_id, doc_seq, event_id, raw)``, one row per event."""
-    events = spark.read.parquet(f"{folder}/events.parquet")
+    events = _events(spark, folder)
     inv = F.concat(F.lit("inv-"), (F.col("user_id") % INVESTIGATIONS).cast("string"))
     part = F.floor((F.dayofmonth("ts") - 1) / 10)
     level = (

@@ -77,7 +77,8 @@ def running_graph_counts(documents: DataFrame, size: int | None = None, overlap:
     """
     return (
         extracted(documents, size, overlap)
-        .select("investigation_id", F.explode("entities").alias("e"))
+        .select("investigation_id", F.explode_outer("entities").alias("e"))
+        .filter(F.col("e").isNotNull())
         .groupBy("investigation_id", "e.name", "e.type")
         .agg(F.count("*").alias("mentions"))
     )

@@ -125,7 +125,7 @@ def log_line_scan(spark, folder):
 
 @query
 def log_line_fields(spark, folder):
-    lines = tables.spread(il.incident_lines(spark, folder), "event_id")
+    lines = il.incident_lines(spark, folder)
     return lines.select(
         "event_id",
         tx.line_timestamp(F.col("raw")).alias("timestamp"),
@@ -419,7 +419,7 @@ def response_payloads(spark, folder):
 @query
 def response_entities(spark, folder):
     parsed = extraction.response_extraction(_document_responses(spark, folder))
-    return parsed.select("key", F.posexplode("entities").alias("pos", "e")).select(
+    return parsed.select("key", F.posexplode_outer("entities").alias("pos", "e")).filter("e is not null").select(
         "key", "pos", "e.name", "e.type"
     )
 
@@ -427,7 +427,7 @@ def response_entities(spark, folder):
 @query
 def response_relations(spark, folder):
     parsed = extraction.response_extraction(_document_responses(spark, folder))
-    return parsed.select("key", F.posexplode("relations").alias("pos", "r")).select(
+    return parsed.select("key", F.posexplode_outer("relations").alias("pos", "r")).filter("r is not null").select(
         "key", "pos", "r.source", "r.target", "r.type", "r.confidence"
     )
 
@@ -614,7 +614,7 @@ def node_search(spark, folder):
     nodes = ingest.incident_knowledge(spark, folder).nodes
     words = tx.tokens(F.regexp_replace(F.expr("substring(raw, 21)"), r"[:.]", ""))
     searches = (
-        tables.spread(il.incident_lines(spark, folder), "event_id")
+        il.incident_lines(spark, folder)
         .select("investigation_id", F.explode(words).alias("word"))
         .select("investigation_id", F.explode(F.array("word", F.substring("word", 1, 2))).alias("text"))
         .distinct()
@@ -770,7 +770,7 @@ def hashed_embeddings(spark, folder):
     """Non-zero components of the hashed embedding of each incident chunk."""
     chunks = em.embed_documents(ingest.incident_chunks(spark, folder), em.hashed_embedder(DIM))
     return (
-        chunks.select("chunk_id", F.posexplode("embedding").alias("bucket", "weight"))
+        chunks.select("chunk_id", F.posexplode_outer("embedding").alias("bucket", "weight"))
         .filter(F.col("weight") > 0)
         .select("chunk_id", "bucket", _score("weight"))
     )
@@ -780,7 +780,7 @@ def hashed_embeddings(spark, folder):
 def question_embeddings(spark, folder):
     items = em.embed_questions(tables.table(spark, folder, "benchmark"), em.hashed_embedder(DIM))
     return (
-        items.select("item_id", F.posexplode("embedding").alias("bucket", "weight"))
+        items.select("item_id", F.posexplode_outer("embedding").alias("bucket", "weight"))
         .filter(F.col("weight") > 0)
         .select("item_id", "bucket", _score("weight"))
     )

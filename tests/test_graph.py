@@ -52,11 +52,13 @@ def _power(names, pairs, rounds=None):
     return x, done
 
 
-@pytest.mark.parametrize("small,hub", [(1_000_000, 1_000_000), (0, 1_000_000), (0, 2), (12, 3)])
-@pytest.mark.parametrize("rounds", [None, 7])
-def test_pagerank(spark, rounds, small, hub):
+@pytest.mark.parametrize(
+    "rounds,small,hub,batch",
+    [(None, 1000, 1000, 20), (7, 1000, 1000, 20), (None, 0, 1000, 15), (5, 0, 2, 20), (5, 12, 3, 20)],
+)
+def test_pagerank(spark, rounds, small, hub, batch):
     graphs = _random_graphs(12, 3)
-    scores = centrality.pagerank(*_tables(spark, graphs), rounds, small=small, hub=hub, batch=20)
+    scores = centrality.pagerank(*_tables(spark, graphs), rounds, small=small, hub=hub, batch=batch)
     got = {(r["investigation_id"], r["name"]): r for r in scores.collect()}
     assert len(got) == sum(len(names) for names, _ in graphs.values())
     for g, (names, pairs) in graphs.items():

@@ -180,7 +180,7 @@ _chunk = st.tuples(
 )
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(_chunk, min_size=1, max_size=5))
 def test_merge_modes_equal_dictionaries(spark, chunks):
     nodes, edges, first_nodes, first_edges = {}, {}, {}, {}
