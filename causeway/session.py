@@ -47,8 +47,8 @@ def shared_folder(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of it.
 
-    Used where several consumers follow or an iteration would grow the lineage. A
-    written table survives lost executors, is computed exactly once, keeps column
+    Used where several consumers follow or an iteration would grow the lineage. A written
+    table survives lost executors, is computed exactly once, keeps column
     pruning and gives the optimizer true sizes for its join choices.
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/causeway-{uuid.uuid4().hex}"

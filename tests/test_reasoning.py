@@ -29,18 +29,18 @@ def _causes(spark, entities, found, ranked):
 def test_longest_path_is_the_root_cause(spark):
     row = _causes(
         spark,
-        [("q", "i", "Payment Failure", "SERVICE", 3), ("q", "i", "Api", "API", 1)],
+        [("q", "i", "Slow Writes", "SERVICE", 3), ("q", "i", "Api", "API", 1)],
         [
-            ("i", "Payment Failure", "Connection Pool Exhaustion", 1, [2]),
-            ("i", "Payment Failure", "Redis Timeout", 2, [2, 1]),
+            ("i", "Slow Writes", "Busy Queue", 1, [2]),
+            ("i", "Slow Writes", "Full Disk", 2, [2, 1]),
             ("i", "Api", "Gateway", 1, [9]),
         ],
         [("i", 1, "Other", 0.5)],
     )
-    assert row["root_cause"] == "Redis Timeout"
-    assert row["cause_chain"] == ["Redis Timeout", "Connection Pool Exhaustion", "Payment Failure"]
+    assert row["root_cause"] == "Full Disk"
+    assert row["cause_chain"] == ["Full Disk", "Busy Queue", "Slow Writes"]
     assert row["confidence_score"] == 0.65
-    assert row["affected_systems"] == ["Payment Failure"]
+    assert row["affected_systems"] == ["Slow Writes"]
 
 
 def test_first_entity_wins_among_equal_paths(spark):
@@ -54,9 +54,9 @@ def test_first_entity_wins_among_equal_paths(spark):
 
 
 def test_central_node_without_a_path(spark):
-    row = _causes(spark, [], [], [("i", 1, "Redis", 0.5), ("i", 2, "Payment Service", 0.3)])
+    row = _causes(spark, [], [], [("i", 1, "Redis", 0.5), ("i", 2, "Storage", 0.3)])
     assert (row["root_cause"], row["confidence_score"]) == ("Redis", 0.35)
-    assert row["cause_chain"] == ["Redis", "Payment Service"]
+    assert row["cause_chain"] == ["Redis", "Storage"]
 
 
 def test_unknown_without_a_graph(spark):
@@ -66,8 +66,8 @@ def test_unknown_without_a_graph(spark):
 
 
 def test_root_cause_from_response(spark):
-    good = {"root_cause": "Redis Timeout", "cause_chain": ["Redis Timeout", "Payment Failure"],
-            "confidence_score": 0.92, "affected_systems": ["Payment Service"]}
+    good = {"root_cause": "Full disk", "cause_chain": ["Full disk", "Slow writes"],
+            "confidence_score": 0.77, "affected_systems": ["Storage"]}
     responses = spark.createDataFrame(
         [("a", json.dumps(good)), ("b", '{"root_cause": ""}'), ("c", '{"root_cause": "X", "confidence_score": "high"}'),
          ("d", "[1]"), ("e", None), ("f", '{"root_cause": null}')],
@@ -75,8 +75,8 @@ def test_root_cause_from_response(spark):
     )
     rows = {r["query_id"]: r for r in reasoning.root_causes_from_responses(responses).collect()}
     assert set(rows) == {"a", "c"}
-    assert rows["a"]["root_cause"] == "Redis Timeout" and rows["a"]["confidence_score"] == 0.92
-    assert rows["a"]["affected_systems"] == ["Payment Service"]
+    assert rows["a"]["root_cause"] == "Full disk" and rows["a"]["confidence_score"] == 0.77
+    assert rows["a"]["affected_systems"] == ["Storage"]
     assert rows["c"]["confidence_score"] == 0.6 and rows["c"]["cause_chain"] == []
 
 
