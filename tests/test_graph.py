@@ -187,3 +187,10 @@ def test_unresolved_relations_are_dropped(spark):
     nodes, edges = _tables(spark, {"g": (["a", "b"], [("a", "b"), ("a", "z"), ("z", "b")])})
     kept = graph.resolved_relations(edges, nodes).collect()
     assert [(r["source"], r["target"]) for r in kept] == [("a", "b")]
+
+
+def test_task_functions_travel_with_the_job():
+    from pyspark import cloudpickle
+
+    payload = cloudpickle.dumps(vector_search._best)
+    assert b"_make_function" in payload  # the code itself, not a module to import
