@@ -237,10 +237,10 @@ def links_within(points: DataFrame, bits: int = 4, sample: int = 8_192) -> DataF
             here = shard == each
             matcher = Matcher(own[here], bits)
             mine, others = np.flatnonzero(home[here]), np.flatnonzero(~home[here])
-            matcher.own(mine)
-            matcher.both(mine, others)
-            a, b = (np.array(x, dtype=np.int64) for x in zip(*matcher.forest.links)) if matcher.forest.links else ([], [])
-            if len(a):
+            matcher.pairs(mine)
+            matcher.pairs(mine, others)
+            if matcher.forest.links:
+                a, b = (np.concatenate(x) for x in zip(*matcher.forest.links))
                 found = matcher.points.view(np.int64)
                 yield pa.record_batch([pa.array(found[a]), pa.array(found[b])], ["a", "b"])
 
