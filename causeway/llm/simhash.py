@@ -204,18 +204,21 @@ class Matcher:
                 self.forest.link(x[apart], y[apart])
 
 
-def links_within(points: DataFrame, bits: int = 4, sample: int = 8_192) -> DataFrame:
+def links_within(points: DataFrame, bits: int = 4, share: int = 16, sample: int = 1 << 17) -> DataFrame:
     """Links ``(a, b)`` that connect exactly the points ``fp`` (distinct) within ``bits``.
 
-    A tree is grown from a sample of at most ``sample`` points; it decides only which shard a
-    point lives in. Every point goes to its shard and visits those whose ball it may reach,
-    so each close pair meets in a shard; there a tree of its own finds the pairs. Of the
-    pairs in a shard a spanning forest is handed on, never all.
+    A tree is grown from a sample of 32 points for each shard, at most ``sample``; it
+    decides only which shard a point lives in. Every point goes to its shard and visits
+    those whose ball it may reach, so each close pair meets in a shard; there a tree of its
+    own finds the pairs. Of the pairs in a shard a spanning forest is handed on, never all.
+
+    More shards mean more visits, fewer mean more work in each: their number is the square
+    root of the points divided by ``share``.
     """
-    n = max(1, min(partitions(points), sample // 16))
     total = points.count()
-    share = min(1.0, sample / max(1, total))
-    picked = points.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * sample)
+    n = max(1, min(sample // 32, round(total**0.5 / share)))
+    part = min(1.0, 32 * n / max(1, total))
+    picked = points.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(part * (1 << 20)) + 1).limit(2 * sample)
     known = np.array([r.fp for r in picked.collect()], dtype=np.int64).view(np.uint64)
     tree, shards = build_tree(known, n)
 

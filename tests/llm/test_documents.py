@@ -200,7 +200,7 @@ def test_links_of_dense_and_spread_points(spark):
     roots = matcher.forest.roots(np.arange(len(points)))
     assert {int(p): int(points[r]) for p, r in zip(points, roots)} == expected
     frame = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "fp long")
-    links = simhash.links_within(frame, 4, sample=512)
+    links = simhash.links_within(frame, 4, share=4)
     sets = _components_of([(r.a % 2**64, r.b % 2**64) for r in links.collect()], expected)
     assert sets == expected
 
