@@ -1,13 +1,11 @@
 """Embedders: functions ``Column -> Column`` that a caller can replace.
 
-They are marked as not deterministic, which keeps the optimizer from running them a second
-time for a filter on their result.
+A model is marked as not deterministic, which keeps the optimizer from running it a second
+time for a filter on its result.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,33 +19,47 @@ Embedder = Callable[[Column], Column]
 
 
 def hashed_embedder(dim: int = fv.EMBEDDING_DIM) -> Embedder:
-    """Word counts hashed into ``dim`` buckets, scaled to length 1.
+    """Word counts hashed into ``dim`` buckets, scaled to length 1, in built-in functions.
 
     The deterministic default, for use without a model. A word is a run of letters and
-    digits; its bucket is the first eight hex digits of its MD5, modulo ``dim``.
+    digits; its bucket is the first eight hex digits of its MD5, modulo ``dim``. The vector
+    is put together from the sorted buckets: the zeros before each, then its weight.
     """
 
-    @F.pandas_udf("array<double>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        word = re.compile(r"[^\W_]+")
-        buckets: dict[str, int] = {}
+    def embed(text: Column) -> Column:
+        words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+        bucket = lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dim).cast("int")
+        return _let(F.sort_array(F.transform(words, bucket)), vector)
 
-        def bucket(w: str) -> int:
-            if w not in buckets:
-                if len(buckets) > 500_000:
-                    buckets.clear()
-                buckets[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dim
-            return buckets[w]
+    def vector(hits: Column) -> Column:
+        def placed(used: Column) -> Column:
+            return _let(F.transform(used, lambda b: F.array_position(hits, b).cast("int")), lambda at: scaled(used, at))
 
-        def vector(text: str | None) -> np.ndarray:
-            hits = [bucket(w) for w in word.findall((text or "").lower())]
-            counts = np.bincount(hits, minlength=dim).astype("float64") if hits else np.zeros(dim)
-            return counts / (np.linalg.norm(counts) or 1.0)
+        def scaled(used: Column, at: Column) -> Column:
+            counts = F.transform(
+                at, lambda p, i: (F.coalesce(F.get(at, i + 1), F.size(hits) + 1) - p).cast("double")
+            )
+            return _let(counts, lambda n: joined(used, n, F.sqrt(F.aggregate(n, F.lit(0.0), lambda s, c: s + c * c))))
 
-        for texts in batches:
-            yield texts.map(vector)
+        def joined(used: Column, counts: Column, length: Column) -> Column:
+            parts = F.transform(
+                used,
+                lambda b, i: F.concat(
+                    F.array_repeat(F.lit(0.0), b - F.coalesce(F.get(used, i - 1), F.lit(-1)) - 1),
+                    F.array(F.get(counts, i) / length),
+                ),
+            )
+            last = F.coalesce(F.get(used, F.size(used) - 1), F.lit(-1))
+            return F.concat(F.flatten(parts), F.array_repeat(F.lit(0.0), F.lit(dim - 1) - last))
 
-    return embed.asNondeterministic()
+        return _let(F.array_distinct(hits), placed)
+
+    return embed
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once however often it is named."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def model_embedder(load: Callable[[], Callable[[list[str]], np.ndarray]]) -> Embedder:

@@ -178,18 +178,20 @@ def response_extraction(responses: DataFrame, response: str = "response") -> Dat
 def extraction(chunks: DataFrame, responses: DataFrame | None = None) -> DataFrame:
     """Extraction of each chunk: the response if it has an entity, else the heuristic.
 
-    The relations of a response without entities are not used.
+    ``responses(investigation_id, key, response)``, where the key is a chunk id. The
+    relations of a response without entities are not used.
     """
     own = heuristic_extraction(chunks)
     if responses is None:
         return own
     given = response_extraction(responses).select(
+        "investigation_id",
         F.col("key").alias("chunk_id"),
         F.col("entities").alias("given_entities"),
         F.col("relations").alias("given_relations"),
     )
     use = F.coalesce(F.size("given_entities"), F.lit(0)) > 0
-    return own.join(given, "chunk_id", "left").select(
+    return own.join(given, ["investigation_id", "chunk_id"], "left").select(
         *chunks.columns,
         F.when(use, F.col("given_entities")).otherwise(F.col("entities")).alias("entities"),
         F.when(use, F.col("given_relations")).otherwise(F.col("relations")).alias("relations"),

@@ -168,14 +168,18 @@ def export_nodes(nodes: DataFrame) -> DataFrame:
 
 
 def export_edges(edges: DataFrame, zero_is_missing: bool = False) -> DataFrame:
-    """Edges with defaults; the persisted graph also replaces a confidence of zero."""
+    """Edges with defaults; the persisted graph also replaces a confidence of zero.
+
+    The id names the type too: an accumulated graph has an edge for each type of a pair.
+    """
     confidence = F.col("confidence")
     if zero_is_missing:
         confidence = F.nullif(confidence, F.lit(0.0))
+    kind = F.coalesce("type", F.lit("RELATED_TO"))
     return edges.select(
-        F.concat(F.col("source"), F.lit("->"), F.col("target")).alias("id"),
+        F.concat(F.col("source"), F.lit("->"), F.col("target"), F.lit(":"), kind).alias("id"),
         *_EDGE,
-        F.coalesce("type", F.lit("RELATED_TO")).alias("type"),
+        kind.alias("type"),
         F.coalesce(confidence, F.lit(0.5)).alias("confidence"),
         "evidence_chunk_id",
     )

@@ -12,6 +12,34 @@ from causeway.functions import text as tx
 
 _RULE = "\n---\n"
 
+#: Called once per Python worker; returns what answers a prompt under a system instruction.
+Model = Callable[[], Callable[[str, str | None], str]]
+
+_JSON = "Answer with one JSON object and nothing else, of this form: "
+#: System instruction of each stage: its task, and the form that its reader expects.
+SYSTEM = {
+    "extraction": "You list the parts of a system that a record names, and how they act on each other. "
+    + _JSON
+    + '{"entities": [{"name": "...", "type": "SERVICE|ERROR|COMPONENT|DATABASE|API|EVENT|SYSTEM"}], '
+    '"relationships": [{"source": "...", "target": "...", '
+    '"type": "CAUSES|DEPENDS_ON|RELATED_TO|CONTAINS|TRIGGERS", "confidence": 0.0}]}',
+    "summary": "You sum up records of incidents. Answer with plain text.",
+    "root_cause": "You judge what set off an incident, from the given material alone. "
+    + _JSON
+    + '{"root_cause": "...", "cause_chain": ["first cause", "...", "last effect"], '
+    '"confidence_score": 0.0, "affected_systems": ["..."]}',
+    "timeline": "You put what happened into order, from the given excerpts alone. "
+    + _JSON
+    + '{"events": [{"timestamp": "... or null", "title": "...", "description": "...", '
+    '"severity": "info|warning|critical"}]}',
+    "report": "You write for the people on call, briefly and without guesses. "
+    + _JSON
+    + '{"executive_summary": "...", "recommendations": ["..."]}',
+    "answer": "You answer questions about one incident from the given material; say so if it has no answer. "
+    + _JSON
+    + '{"answer": "...", "referenced_entities": ["..."]}',
+}
+
 
 def _joined(rows: DataFrame, value: Column, separator: str, limit: int | None, *order: str) -> DataFrame:
     """The first rows of each question as one text: ``query_id, joined``."""
@@ -36,6 +64,7 @@ def _relation() -> Column:
 
 def extraction_prompts(chunks: DataFrame) -> DataFrame:
     return chunks.select(
+        "investigation_id",
         F.col("chunk_id").alias("key"),
         F.concat(F.lit("Text of the incident record:\n"), F.col("text")).alias("prompt"),
     )
@@ -43,6 +72,7 @@ def extraction_prompts(chunks: DataFrame) -> DataFrame:
 
 def summary_prompts(chunks: DataFrame) -> DataFrame:
     return chunks.select(
+        "investigation_id",
         F.col("chunk_id").alias("key"),
         F.concat(
             F.lit("Sum up this excerpt in one or two sentences, naming errors and services:\n"),
@@ -100,10 +130,10 @@ def report_prompts(causes: DataFrame, timeline: DataFrame) -> DataFrame:
     return base.select(
         F.col("query_id").alias("key"),
         F.concat(
-            F.lit("Cause chain: "), chain,
-            F.lit("\nConfidence: "), F.col("confidence_score").cast("string"),
-            F.lit("\nEvents: "), F.col("events"),
-            F.lit("\nAffected systems: "), systems,
+            F.lit("What broke: "), systems,
+            F.lit("\nIn this order: "), F.col("events"),
+            F.lit("\nBecause of: "), chain,
+            F.lit("\nHow sure (0 to 1): "), F.col("confidence_score").cast("string"),
         ).alias("prompt"),
     )
 
@@ -137,30 +167,32 @@ def chat_prompts(
     report = known.select(
         "query_id",
         F.concat(
-            F.lit("Reported root cause: "), F.col("root_cause"),
-            F.lit(" (chain: "), F.array_join("cause_chain", " -> "), F.lit(")"),
+            F.lit("Our finding so far: "), F.array_join("cause_chain", " -> "),
+            F.lit(", which began with "), F.col("root_cause"),
         ).alias("joined"),
     )
     base = _with(base, report, "report")
     return base.select(
         F.col("query_id").alias("key"),
         F.concat(
-            F.lit("Conversation:\n"), "said", F.lit("\nNew question: "), "text",
-            F.lit("\nEvidence:\n"), "excerpts", F.lit("\nRelations: "), "relations",
-            F.lit("\n"), "report",
+            F.lit("Asked now: "), "text", F.lit("\n"), "report",
+            F.lit("\nLinks in the graph: "), "relations", F.lit("\nWhat the records say:\n"), "excerpts",
+            F.lit("\nSaid before:\n"), "said",
         ).alias("prompt"),
     )
 
 
 def infer(
     prompts: DataFrame,
-    load: Callable[[], Callable[[str], str]] | None,
+    load: Model | None,
     tries: int = 3,
     wait: Callable[[float], None] = time.sleep,
+    system: str | None = None,
 ) -> DataFrame:
     """Add ``response`` and ``error`` to a table of prompts.
 
-    ``load`` runs once per Python worker and returns the call that answers one prompt.
+    ``load`` runs once per Python worker and returns the call that answers one prompt under
+    the ``system`` instruction (see ``SYSTEM``).
     A call is tried ``tries`` times with waits of 1 to 8 seconds; a prompt that still
     fails gets a null response and its error, the others are not affected. Without
     ``load`` every response is empty, which makes all readers fall back.
@@ -170,10 +202,10 @@ def infer(
             {"response": F.lit(""), "error": F.lit(None).cast("string")}
         )
 
-    def answer(call: Callable[[str], str], prompt: str) -> tuple[str | None, str | None]:
+    def answer(call: Callable[[str, str | None], str], prompt: str) -> tuple[str | None, str | None]:
         for attempt in range(tries):
             try:
-                return call(prompt) or "", None
+                return call(prompt, system) or "", None
             except Exception as failure:  # a provider may raise anything
                 problem = f"{type(failure).__name__}: {failure}"
                 if attempt + 1 < tries:

@@ -22,8 +22,8 @@ def evidence(hits: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """
     source = F.col("document_id")
     if documents is not None:
-        names = documents.select("document_id", "filename")
-        hits = hits.join(names, "document_id", "left")
+        names = documents.select("investigation_id", "document_id", "filename")
+        hits = hits.join(names, ["investigation_id", "document_id"], "left")
         source = F.coalesce("filename", "document_id")
     strongest = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "rank")
     return hits.select(
@@ -227,12 +227,9 @@ def _names(names: Column, empty: str) -> Column:
 def recommendations(confidence: Column) -> Column:
     return F.array_compact(
         F.array(
-            F.lit("Alert on the first link of the cause chain, so that a repeat is noticed early."),
-            F.lit("Add a runbook step that checks for this failure before others."),
-            F.when(
-                confidence < 0.5,
-                F.lit("Collect more logs and traces: the present evidence supports little."),
-            ),
+            F.lit("Set a monitor on what broke first."),
+            F.lit("Write down how this was recognised, for the next time."),
+            F.when(confidence < 0.5, F.lit("Treat the finding as a guess until more records are in.")),
         )
     )
 
@@ -251,17 +248,15 @@ def reports(causes: DataFrame, timeline: DataFrame, narratives: DataFrame | None
         F.col("root_cause")
     )
     summary = F.concat(
-        F.lit("Most likely root cause: '"),
+        F.col("events").cast("string"),
+        F.lit(" events placed in time point to "),
         F.col("root_cause"),
-        F.lit("' (confidence "),
+        F.lit(", "),
         sc.percent(F.col("confidence_score")).cast("string"),
-        F.lit("%). Correlated events on the timeline: "),
-        F.col("events").cast("string"),
-        F.lit(". Cause chain: "),
+        F.lit("% sure. It touched "),
+        _names(F.col("affected_systems"), "no system by name"),
+        F.lit(" and spread as "),
         chain,
-        F.lit(". Affected systems: "),
-        _names(F.col("affected_systems"), "not determined"),
-        F.lit("."),
     )
     systems = F.when(F.size("affected_systems") > 0, F.col("affected_systems")).otherwise(
         F.coalesce("titles", F.array().cast(_NO_NAMES))

@@ -66,8 +66,24 @@ def upstream(
     )
 
 
+def path_steps(found: DataFrame) -> DataFrame:
+    """The path of each start as rows, numbered from its farthest cause; the start is last.
+
+    However many causes a start has, no row holds them together.
+    """
+    far_first = Window.partitionBy("investigation_id", "start").orderBy(F.col("hop").desc(), F.col("reach").desc())
+    causes = found.select(
+        "investigation_id", "start", F.row_number().over(far_first).cast("bigint").alias("step"), F.col("node").alias("name")
+    )
+    ends = found.groupBy("investigation_id", "start").agg((F.count("*") + 1).alias("step"))
+    return causes.unionByName(ends.withColumn("name", F.col("start")))
+
+
 def causal_paths(found: DataFrame) -> DataFrame:
-    """One path per start with at least one cause: farthest cause first, the start last."""
+    """The path of each start as one array, for starts that were chosen for show.
+
+    As ``path_steps``; the array holds everything upstream of its start.
+    """
     far_first = F.sort_array(F.collect_list(F.struct("hop", "reach", "node")), asc=False)
     return found.groupBy("investigation_id", "start").agg(
         F.array_append(F.transform(far_first, lambda s: s["node"]), F.first("start")).alias("path")

@@ -13,7 +13,10 @@ from causeway.functions.embedding import Embedder, embed_questions
 
 #: Scores are compared to this many digits, so equal texts tie and position decides.
 DIGITS = 9
-_FOUND = "query_id string, chunk_id string, doc_seq bigint, chunk_index bigint, score double"
+_FOUND = (
+    "query_id string, investigation_id string, chunk_id string, doc_seq bigint, chunk_index bigint, score double"
+)
+_ANY = 4096  # investigations named in a filter; more are met by a join
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -28,31 +31,33 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def _best(chunks: pd.DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
-    """Best ``k`` chunks for each query; ties at the limit are settled by position."""
+    """Best ``k`` chunks of one investigation for each query; position settles ties.
+
+    All queries are ranked at once: one partition of the score matrix finds each query's
+    limit, and one sort orders what reaches it.
+    """
     vectors = np.stack(chunks["embedding"].to_numpy()).astype("float64")
-    lengths = np.outer(np.linalg.norm(vectors, axis=1), np.linalg.norm(queries, axis=1))
-    scores = (vectors @ queries.T) / np.where(lengths == 0, 1e-9, lengths)
+    lengths = np.outer(np.linalg.norm(queries, axis=1), np.linalg.norm(vectors, axis=1))
+    scores = (queries @ vectors.T) / np.where(lengths == 0, 1e-9, lengths)
     compared = np.round(scores, DIGITS)
     doc_seq, chunk_index = chunks["doc_seq"].to_numpy(), chunks["chunk_index"].to_numpy()
-    parts = []
-    for column, query_id in enumerate(ids):
-        own = compared[:, column]
-        rows = np.arange(len(own))
-        if len(own) > k:
-            rows = np.flatnonzero(own >= np.partition(own, len(own) - k)[len(own) - k])
-        rows = rows[np.lexsort((chunk_index[rows], doc_seq[rows], -own[rows]))][:k]
-        parts.append(
-            pd.DataFrame(
-                {
-                    "query_id": query_id,
-                    "chunk_id": chunks["chunk_id"].to_numpy()[rows],
-                    "doc_seq": doc_seq[rows],
-                    "chunk_index": chunk_index[rows],
-                    "score": scores[rows, column],
-                }
-            )
-        )
-    return pd.concat(parts)
+    n = compared.shape[1]
+    limit = np.partition(compared, n - k, axis=1)[:, n - k] if n > k else np.full(len(ids), -np.inf)
+    query, row = np.nonzero(compared >= limit[:, None])
+    order = np.lexsort((chunk_index[row], doc_seq[row], -compared[query, row], query))
+    query, row = query[order], row[order]
+    place = np.arange(len(query)) - np.searchsorted(query, query)
+    query, row = query[place < k], row[place < k]
+    return pd.DataFrame(
+        {
+            "query_id": np.asarray(ids, dtype=object)[query],
+            "investigation_id": chunks["investigation_id"].to_numpy()[row],
+            "chunk_id": chunks["chunk_id"].to_numpy()[row],
+            "doc_seq": doc_seq[row],
+            "chunk_index": chunk_index[row],
+            "score": scores[query, row],
+        }
+    )
 
 
 def _search_few(vectors: DataFrame, questions: list, k: int) -> DataFrame:
@@ -115,7 +120,7 @@ def _search_many(
 
     def search(q: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(chunks):
-            return pd.DataFrame(columns=["query_id", "chunk_id", "doc_seq", "chunk_index", "score"])
+            return pd.DataFrame(columns=[c.split()[0] for c in _FOUND.split(", ")])
         matrix = np.stack(q["embedding"].to_numpy()).astype("float64")
         return _best(chunks, q["query_id"].to_numpy(), matrix, k)
 
@@ -132,6 +137,19 @@ def _search_many(
     )
 
 
+def in_scope(chunks: DataFrame, questions: DataFrame) -> DataFrame:
+    """Chunks of the investigations that are asked about, and no others.
+
+    A few thousand names become a filter that reaches the scan, where it picks folders;
+    more are met by a semi-join. An embedder behind this sees only what is asked for.
+    """
+    asked = questions.select("investigation_id").distinct()
+    names = [r.investigation_id for r in asked.limit(_ANY + 1).collect()]
+    if len(names) > _ANY:
+        return chunks.join(asked, "investigation_id", "left_semi")
+    return chunks.filter(F.col("investigation_id").isin([n for n in names if n is not None]))
+
+
 def search(
     vectors: DataFrame,
     questions: DataFrame,
@@ -143,14 +161,15 @@ def search(
     """Best ``k`` chunks of its own investigation for each question.
 
     ``vectors(investigation_id, chunk_id, doc_seq, chunk_index, embedding)``,
-    ``questions(query_id, investigation_id, embedding)``. Result: ``query_id, chunk_id,
-    score, rank``. Rows without a vector are ignored. Up to ``few`` questions are
+    ``questions(query_id, investigation_id, embedding)``. Result: ``query_id,
+    investigation_id, chunk_id, score, rank``; a chunk id is unique only within its
+    investigation. Rows without a vector are ignored. Up to ``few`` questions are
     broadcast, which is checked; more of them meet the chunks in blocks. Either way only
     the best ``k`` of a partition or block leave it.
     """
     k = fv.TOP_K if k is None else k
     usable = F.col("embedding").isNotNull() & (F.size("embedding") > 0)
-    vectors = vectors.select(
+    vectors = in_scope(vectors, questions).select(
         "investigation_id", "chunk_id", "doc_seq", "chunk_index", "embedding"
     ).filter(usable)
     questions = questions.select("query_id", "investigation_id", "embedding").filter(usable)
@@ -165,21 +184,20 @@ def search(
     return (
         found.withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= k)
-        .select("query_id", "chunk_id", "score", "rank")
+        .select("query_id", "investigation_id", "chunk_id", "score", "rank")
     )
 
 
 def with_text(found: DataFrame, chunks: DataFrame) -> DataFrame:
     """Hits with the text of their chunks. The search itself never moves text."""
-    return found.join(
-        chunks.select("chunk_id", "investigation_id", "document_id", "chunk_index", "text"),
-        "chunk_id",
-    )
+    key = ["investigation_id", "chunk_id"]
+    return found.join(chunks.select(*key, "document_id", "chunk_index", "text"), key)
 
 
 def retrieve(
     chunks: DataFrame, questions: DataFrame, embedder: Embedder, k: int | None = None
 ) -> DataFrame:
     """Embed the questions and return the hits of each with their text."""
+    chunks = in_scope(chunks, questions)
     found = search(chunks, embed_questions(questions, embedder), k)
     return with_text(found, chunks)

@@ -6,29 +6,51 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
-from causeway.functions.embedding import Embedder, embed_documents
-from causeway.operators import centrality, reasoning, registry, retrieval
+from causeway.functions.embedding import Embedder
+from causeway.operators import prompts, reasoning, registry, retrieval
+from causeway.operators.prompts import Model
 from causeway.plans.ingest import Knowledge
 from causeway.session import materialize
 
+_STAGE_ERRORS = "query_id string, stage string, error string"
+
 
 class Investigation(NamedTuple):
+    """Tables keyed by ``query_id``. ``refused`` holds the questions that were not run and
+    why; ``errors`` the model calls that failed for good."""
+
     hits: DataFrame
     context: retrieval.GraphContext
-    ranked: DataFrame
     evidence: DataFrame
     root_causes: DataFrame
     timelines: DataFrame
     reports: DataFrame
     status: DataFrame
+    refused: DataFrame
+    errors: DataFrame
 
 
-def central_nodes(
-    knowledge: Knowledge, rounds: int | None = None, tie_break: str = "insertion"
-) -> DataFrame:
-    """The five most central nodes of each investigation; converged unless ``rounds`` is given."""
-    scores = centrality.pagerank(knowledge.nodes, knowledge.edges, rounds)
-    return materialize(centrality.ranked_nodes(scores, knowledge.nodes, 5, tie_break))
+def _usable(knowledge: Knowledge) -> None:
+    if "embedding" not in knowledge.chunks.columns or knowledge.ranks is None:
+        raise ValueError("build the knowledge with an embedder and ranks first")
+
+
+class _Answers:
+    """Where a stage's answers come from: recorded ones, a model, or nowhere."""
+
+    def __init__(self, recorded: dict[str, DataFrame] | None, model: Model | None, tries: int):
+        self.recorded, self.model, self.tries, self.errors = recorded or {}, model, tries, []
+
+    def of(self, stage: str, asked) -> DataFrame | None:
+        """``key, response`` of a stage; ``asked`` makes its prompts, for a model only."""
+        if stage in self.recorded:
+            return self.recorded[stage]
+        if self.model is None:
+            return None
+        given = materialize(prompts.infer(asked(), self.model, self.tries, system=prompts.SYSTEM[stage]))
+        failed = given.filter(F.col("error").isNotNull())
+        self.errors.append(failed.select(F.col("key").alias("query_id"), F.lit(stage).alias("stage"), "error"))
+        return given.select("key", "response")
 
 
 def investigate(
@@ -37,47 +59,61 @@ def investigate(
     embedder: Embedder,
     documents: DataFrame | None = None,
     responses: dict[str, DataFrame] | None = None,
-    rounds: int | None = None,
+    model: Model | None = None,
+    investigations: DataFrame | None = None,
     tie_break: str = "insertion",
+    tries: int = 3,
 ) -> Investigation:
     """Retrieve, find the root cause, order the events and write the report.
 
-    ``responses`` may hold recorded model answers under ``root_cause``, ``timeline`` and
-    ``report``; what they lack or get wrong is filled by the heuristic results.
+    Questions on an unknown investigation (not among ``investigations``, by default those
+    with chunks), or on one without chunks, are refused. Vectors and ranks are read from
+    the knowledge, only those of the investigations asked about.
+
+    Answers of a model may be recorded in ``responses`` under ``root_cause``, ``timeline``
+    and ``report``, or come from ``model``, which is asked stage by stage with what the
+    stages before have found. What they lack or get wrong is filled by the heuristic
+    results; a question for which the model failed ends as FAILED.
     """
-    responses = responses or {}
-    questions = retrieval.asked(questions)
-    vectors = embed_documents(knowledge.chunks, embedder)
-    ranked = central_nodes(knowledge, rounds, tie_break)
+    _usable(knowledge)
+    source = _Answers(responses, model, tries)
+    chunks = knowledge.chunks
+    known = chunks.select("investigation_id") if investigations is None else investigations
+    checked = materialize(registry.readiness(retrieval.asked(questions), known, chunks))
+    refused = checked.filter("readiness <> 'ready'").select("query_id", "investigation_id", F.col("readiness").alias("reason"))
+    questions = checked.filter("readiness = 'ready'").drop("readiness")
+
     found = retrieval.hybrid(
-        questions, vectors, knowledge.nodes, knowledge.edges, ranked, embedder, tie_break=tie_break
+        questions, chunks, knowledge.nodes, knowledge.edges, knowledge.ranks, embedder, tie_break=tie_break
     )
     hits = materialize(found.hits)
     context = found.context._replace(found=materialize(found.context.found))
+    evidence = reasoning.evidence(hits, documents)
 
-    causes = reasoning.root_causes(questions, context, ranked, tie_break)
-    if "root_cause" in responses:
-        causes = reasoning.prefer(
-            reasoning.root_causes_from_responses(responses["root_cause"]), causes
-        )
+    causes = reasoning.root_causes(questions, context, knowledge.ranks, tie_break)
+    given = source.of(
+        "root_cause",
+        lambda: prompts.root_cause_prompts(questions, evidence, context.relations, retrieval.question_paths(context)),
+    )
+    if given is not None:
+        causes = reasoning.prefer(reasoning.root_causes_from_responses(given), causes)
     causes = materialize(causes)
     events = reasoning.timelines(hits)
-    if "timeline" in responses:
-        events = reasoning.prefer_timelines(
-            reasoning.timelines_from_responses(responses["timeline"]), events
-        )
-    narratives = responses.get("report")
-    if narratives is not None:
-        narratives = reasoning.narratives_from_responses(narratives)
+    given = source.of("timeline", lambda: prompts.timeline_prompts(hits))
+    if given is not None:
+        events = reasoning.prefer_timelines(reasoning.timelines_from_responses(given), events)
+    given = source.of("report", lambda: prompts.report_prompts(causes, events))
+    narratives = None if given is None else reasoning.narratives_from_responses(given)
     reports = materialize(reasoning.reports(causes, events, narratives))
 
-    unanswered = questions.join(reports.select("query_id"), "query_id", "left_anti")
+    errors = questions.sparkSession.createDataFrame([], _STAGE_ERRORS)
+    for part in source.errors:
+        errors = errors.unionByName(part)
+    failed = questions.join(errors.select("query_id").distinct(), "query_id", "left_semi")
     status = registry.status_events(
-        (questions, "PROCESSING", 1), (reports, "COMPLETED", 2), (unanswered, "FAILED", 3)
-    )
-    return Investigation(
-        hits, context, ranked, reasoning.evidence(hits, documents), causes, events, reports, status
+        (questions, "PROCESSING", 1), (reports, "COMPLETED", 2), (failed, "FAILED", 3)
     )
+    return Investigation(hits, context, evidence, causes, events, reports, status, refused, errors)
 
 
 def chat(
@@ -86,22 +122,30 @@ def chat(
     embedder: Embedder,
     reports: DataFrame,
     responses: DataFrame | None = None,
-    rounds: int | None = None,
+    model: Model | None = None,
+    history: DataFrame | None = None,
     tie_break: str = "insertion",
+    tries: int = 3,
 ) -> DataFrame:
-    """Answers to follow-up messages; ``reports(investigation_id, ...)`` has one report each."""
-    vectors = embed_documents(knowledge.chunks, embedder)
-    ranked = central_nodes(knowledge, rounds, tie_break)
+    """Answers to follow-up messages; ``reports(investigation_id, ...)`` has one report each.
+
+    Answers of a model are recorded in ``responses`` or come from ``model``, which also
+    gets the last messages of ``history`` (then ``messages`` need ``conv_id``).
+    """
+    _usable(knowledge)
     found = retrieval.hybrid(
-        messages, vectors, knowledge.nodes, knowledge.edges, ranked, embedder, tie_break=tie_break
+        messages, knowledge.chunks, knowledge.nodes, knowledge.edges, knowledge.ranks, embedder, tie_break=tie_break
     )
     known = messages.select("query_id", "investigation_id").join(
         reports.select("investigation_id", "root_cause", "cause_chain", "confidence"),
         "investigation_id",
     )
-    answers = reasoning.answers(
-        messages, reasoning.evidence(materialize(found.hits)), found.context.entities, known, tie_break
+    evidence = reasoning.evidence(materialize(found.hits))
+    answers = reasoning.answers(messages, evidence, found.context.entities, known, tie_break)
+    source = _Answers(None if responses is None else {"answer": responses}, model, tries)
+    given = source.of(
+        "answer", lambda: prompts.chat_prompts(messages, history, evidence, found.context.relations, known)
     )
-    if responses is not None:
-        answers = reasoning.prefer(reasoning.answers_from_responses(responses), answers)
+    if given is not None:
+        answers = reasoning.prefer(reasoning.answers_from_responses(given), answers)
     return answers

@@ -30,6 +30,8 @@ CHUNKS = _struct(
 )
 QUESTIONS = _struct(query_id=_s, investigation_id=_s, text=_s)
 RESPONSES = _struct(key=_s, response=_s)
+#: Answers about chunks, whose ids are unique within their investigation only.
+CHUNK_RESPONSES = _struct(investigation_id=_s, key=_s, response=_s)
 CHAT_HISTORY = _struct(conv_id=_s, turn=_l, role=_s, content=_s)
 
 ENTITY = _struct(name=_s, type=_s)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from causeway import fixed_values as fv
 from causeway.functions import text as tx
@@ -47,16 +47,21 @@ def rejected(registry: DataFrame) -> DataFrame:
 
 
 def whole_texts(spark: SparkSession, path: str, max_bytes: int = fv.MAX_FILE_BYTES) -> DataFrame:
-    """``(stored_path, text)`` of every file within the cap that is not a PDF.
+    """``(stored_path, text, rejected)`` of every file.
 
-    The size filter reaches the scan, so oversize files are never opened. Bytes that
-    are not UTF-8 are dropped and line ends become ``\\n``.
+    A PDF (whose text comes from its pages) and a file beyond the cap have a null text and
+    the reason; the filters reach the scan, so neither is ever opened. Bytes that are not
+    UTF-8 are dropped and line ends become ``\\n``. Logs beyond the cap can be read by
+    ``text_lines``.
     """
-    raw = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .filter((F.col("length") <= max_bytes) & ~F.lower("path").endswith(".pdf"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    paged = F.lower("path").endswith(".pdf")
+    readable = (F.col("length") <= max_bytes) & ~paged
+    raw = files.filter(readable)
+    left_out = files.filter(~readable).select(
+        F.col("path").alias("stored_path"),
+        F.lit(None).cast("string").alias("text"),
+        F.when(paged, "paged").otherwise("exceeds the size cap").alias("rejected"),
     )
     body = F.col("content").cast("string")
     clean = F.when(F.is_valid_utf8(body), body).otherwise(
@@ -65,6 +70,45 @@ def whole_texts(spark: SparkSession, path: str, max_bytes: int = fv.MAX_FILE_BYT
     return raw.select(
         F.col("path").alias("stored_path"),
         F.regexp_replace(clean, r"\r\n?", "\n").alias("text"),
+        F.lit(None).cast("string").alias("rejected"),
+    ).unionByName(left_out)
+
+
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(stored_path, line_number, raw)`` of text files of any size.
+
+    A large file is read by many tasks. A line's number is its place in its split after
+    the lines of the file's earlier splits, whose counts are one row for each split.
+    """
+    lines = (
+        spark.read.option("recursiveFileLookup", "true")
+        .text(path)
+        .select(
+            F.col("_metadata.file_path").alias("stored_path"),
+            F.col("_metadata.file_block_start").alias("split"),
+            F.col("value").alias("raw"),
+        )
+        .withColumn("at", F.monotonically_increasing_id())
+    )
+    earlier = Window.partitionBy("stored_path").orderBy("split")
+    splits = (
+        lines.groupBy("stored_path", "split")
+        .agg(F.count("*").alias("n"), F.min("at").alias("first"))
+        .withColumn("before", F.sum("n").over(earlier) - F.col("n"))
+    )
+    return lines.join(splits, ["stored_path", "split"]).select(
+        "stored_path", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line_number"), "raw"
+    )
+
+
+def line_fields(lines: DataFrame, *keys: str, syslog_first: bool = False) -> DataFrame:
+    """Lines of ``text_lines`` that are not blank, with their time and level."""
+    return lines.filter(F.col("raw").rlike(_NOT_BLANK)).select(
+        *keys,
+        "line_number",
+        "raw",
+        tx.line_timestamp(F.col("raw"), syslog_first).alias("timestamp"),
+        tx.log_level(F.col("raw")).alias("level"),
     )
 
 
@@ -108,7 +152,12 @@ def page_texts(pages: DataFrame, *keys: str) -> DataFrame:
 
 
 def load_texts(documents: DataFrame, pages: DataFrame, *keys: str) -> DataFrame:
-    """Text of every accepted document: PDF from its pages, LOG by lines, else as is."""
+    """Text of every document: PDF from its pages, LOG by lines, else as is.
+
+    A document that has a reason in ``rejected`` has no text here.
+    """
+    if "rejected" in documents.columns:
+        documents = accepted(documents)
     is_pdf = F.lower("filename").endswith(".pdf")
     paged = page_texts(
         pages.join(documents.filter(is_pdf).select(*keys), list(keys), "left_semi"), *keys

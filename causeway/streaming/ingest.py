@@ -66,8 +66,17 @@ def start_ingest(
 
 
 def read_extracted(spark: SparkSession, sink: str) -> DataFrame:
-    """Stored chunks, each once: a replayed document has the same chunk ids."""
-    return spark.read.parquet(sink).dropDuplicates(["chunk_id"])
+    """Stored chunks, each once: the newest version of each document (its largest
+    ``doc_seq``), of whose chunks a replay brings the same ids again.
+
+    Ids count within their investigation. Versions are compared on the keys alone.
+    """
+    stored = spark.read.parquet(sink)
+    document = ["investigation_id", "document_id"]
+    versions = stored.groupBy(*document).agg(F.max("doc_seq").alias("doc_seq"))
+    return stored.join(versions, [*document, "doc_seq"], "left_semi").dropDuplicates(
+        ["investigation_id", "chunk_id"]
+    )
 
 
 def running_graph_counts(documents: DataFrame, size: int | None = None, overlap: int | None = None):

@@ -344,18 +344,16 @@ CTES["titles"] = """
                  FROM (SELECT query_id, title, min(pos) AS pos FROM events_of
                        WHERE severity IN ('warning', 'critical') GROUP BY 1, 2)) WHERE rank <= 5"""
 _ADVICE = (
-    "'Alert on the first link of the cause chain, so that a repeat is noticed early. "
-    "Add a runbook step that checks for this failure before others.' || CASE WHEN confidence < 0.5 "
-    "THEN ' Collect more logs and traces: the present evidence supports little.' ELSE '' END"
+    "'Set a monitor on what broke first. Write down how this was recognised, for the next time.' || "
+    "CASE WHEN confidence < 0.5 THEN ' Treat the finding as a guess until more records are in.' ELSE '' END"
 )
 CTES["report_rows"] = f"""
   SELECT c.query_id, c.investigation_id, root_cause, chain,
-         'Most likely root cause: ''' || root_cause || ''' (confidence ' || CAST(trunc(confidence * 100) AS INTEGER)
-         || '%). Correlated events on the timeline: ' || coalesce(e.n, 0) || '. Cause chain: '
-         || CASE WHEN len(chain) > 0 THEN array_to_string(chain, ' → ') ELSE root_cause END
-         || '. Affected systems: '
-         || CASE WHEN len(services) > 0 THEN array_to_string(services, ', ') ELSE 'not determined' END
-         || '.' AS executive_summary,
+         coalesce(e.n, 0) || ' events placed in time point to ' || root_cause || ', '
+         || CAST(trunc(confidence * 100) AS INTEGER) || '% sure. It touched '
+         || CASE WHEN len(services) > 0 THEN array_to_string(services, ', ') ELSE 'no system by name' END
+         || ' and spread as '
+         || CASE WHEN len(chain) > 0 THEN array_to_string(chain, ' → ') ELSE root_cause END AS executive_summary,
          array_to_string(CASE WHEN len(services) > 0 THEN services ELSE coalesce(t.titles, []) END, ', ') AS affected_systems,
          {_ADVICE} AS recommendations, confidence
   FROM causes c LEFT JOIN (SELECT query_id, count(*) AS n FROM events_of GROUP BY 1) e USING (query_id)
@@ -631,6 +629,13 @@ oracle("loaded_texts", """
     LEFT JOIN log_bodies b ON CAST(b.doc_id AS VARCHAR) = f.document_id)
   WHERE NOT is_pdf OR text IS NOT NULL""")
 oracle("page_texts", "SELECT document_id, md5(text) AS text_md5 FROM paged")
+_newlines = "length(text) - length(replace(text, chr(10), ''))"
+oracle("whole_files", f"""
+  SELECT source, CAST(sum(length(text) + 1) AS BIGINT) AS characters, CAST(sum({_newlines} + 1) AS BIGINT) AS lines,
+         CAST(0 AS BIGINT) AS rejected FROM documents GROUP BY source""")
+oracle("text_file_lines", f"""
+  SELECT source, CAST(sum({_newlines} + 1) AS BIGINT) AS lines, CAST(sum(length(text) + 1) AS BIGINT) AS characters,
+         CAST(0 AS BIGINT) AS gaps FROM documents GROUP BY source""")
 oracle("log_line_scan", f"""
   SELECT doc_id, line_number, md5(raw) AS raw_md5, {_line_time('raw')} AS timestamp, {_level('raw')} AS level FROM text_lines""")
 oracle("log_line_fields", f"""
@@ -746,7 +751,7 @@ oracle("drawable_edges", """
 oracle("exported_nodes", """
   SELECT investigation_id || '/' || name AS id, investigation_id, name, type, source_chunk_id FROM nodes""")
 oracle("exported_edges", """
-  SELECT source || '->' || target AS id, investigation_id, source, target, type, confidence, evidence_chunk_id FROM edges""")
+  SELECT source || '->' || target || ':' || type AS id, investigation_id, source, target, type, confidence, evidence_chunk_id FROM edges""")
 oracle("graph_scan", "SELECT * FROM sizes")
 oracle("graph_sizes", "SELECT * FROM sizes")
 oracle("edge_types_and_top_entities", """
@@ -786,7 +791,7 @@ oracle("pagerank_converged", f"""
   SELECT n.investigation_id, n.name, 0, 0 FROM nodes n JOIN sizes z USING (investigation_id) WHERE z.edges = 0""")
 for _name in ("fixed_rounds", "converged"):
     ORACLES[f"pagerank_{_name}_of_large_graphs"] = ORACLES[f"pagerank_{_name}"]
-oracle("central_nodes", "SELECT investigation_id, rank, name, round(score, 9) AS score FROM ranks WHERE rank <= 5")
+oracle("central_nodes", "SELECT investigation_id, rank, name, round(score, 9) AS score FROM ranks")
 oracle("upstream_causes", "SELECT investigation_id, start, node, CAST(hop AS INTEGER) AS hop FROM found_3")
 oracle("upstream_causes_causal_only", """
   SELECT investigation_id, start, node, CAST(min(hop) AS INTEGER) AS hop FROM (
@@ -796,7 +801,13 @@ oracle("upstream_causes_causal_only", """
       ON b.investigation_id = a.investigation_id AND b.target = a.source
     WHERE a.type IN ('CAUSES', 'TRIGGERS') AND b.type IN ('CAUSES', 'TRIGGERS'))
   WHERE node <> start GROUP BY 1, 2, 3""")
-oracle("causal_paths", "SELECT investigation_id, start, array_to_string(path, ' -> ') AS path FROM paths")
+oracle("causal_paths", """
+  SELECT investigation_id, start, CAST(i AS BIGINT) AS step, path[i] AS name
+  FROM (SELECT *, unnest(range(1, len(path) + 1)) AS i FROM paths)""")
+oracle("causal_path_texts", """
+  SELECT investigation_id, start, array_to_string(path, ' -> ') AS path FROM paths p
+  WHERE EXISTS (SELECT 1 FROM nodes n WHERE n.investigation_id = p.investigation_id AND n.name = p.start AND n.type = 'ERROR')""")
+ORACLES["pagerank_with_stray_edges"] = ORACLES["pagerank_fixed_rounds"]
 oracle("forward_paths", """
   SELECT investigation_id, start, path_seq, hops, array_to_string(names, ' -> ') AS path FROM (
     SELECT *, CAST(row_number() OVER (PARTITION BY investigation_id, start ORDER BY hops, names, types) AS INTEGER) AS path_seq
@@ -887,7 +898,7 @@ oracle("chat_answers_from_responses", """
   FROM message_answers a LEFT JOIN answer_objects o ON o.key = a.query_id""")
 
 # --- Prompts
-oracle("extraction_prompts", "SELECT chunk_id AS key, 'Text of the incident record:' || chr(10) || text AS prompt FROM chunks")
+oracle("extraction_prompts", "SELECT investigation_id, chunk_id AS key, 'Text of the incident record:' || chr(10) || text AS prompt FROM chunks")
 _SUMMARY = "'Sum up this excerpt in one or two sentences, naming errors and services:' || chr(10) || text"
 oracle("summary_prompts", f"SELECT chunk_id AS key, md5({_SUMMARY}) AS prompt_md5 FROM doc_chunks")
 _RULE = "chr(10) || '---' || chr(10)"
@@ -904,16 +915,18 @@ oracle("timeline_prompts", f"""
   SELECT query_id AS key, string_agg('[' || coalesce({_event_time('text')}, 'no time') || '] ' || substring(text, 1, 300), {_RULE} ORDER BY rank) AS prompt
   FROM hits GROUP BY 1""")
 oracle("report_prompts", """
-  SELECT c.query_id AS key, 'Cause chain: ' || CASE WHEN len(chain) > 0 THEN array_to_string(chain, ' -> ') ELSE root_cause END
-         || chr(10) || 'Confidence: ' || CAST(confidence AS VARCHAR) || chr(10) || 'Events: ' || coalesce(e.t, '')
-         || chr(10) || 'Affected systems: ' || CASE WHEN len(services) > 0 THEN array_to_string(services, ', ') ELSE 'unclear' END AS prompt
+  SELECT c.query_id AS key, 'What broke: ' || CASE WHEN len(services) > 0 THEN array_to_string(services, ', ') ELSE 'unclear' END
+         || chr(10) || 'In this order: ' || coalesce(e.t, '') || chr(10) || 'Because of: '
+         || CASE WHEN len(chain) > 0 THEN array_to_string(chain, ' -> ') ELSE root_cause END
+         || chr(10) || 'How sure (0 to 1): ' || CAST(confidence AS VARCHAR) AS prompt
   FROM causes c LEFT JOIN (SELECT query_id, string_agg(coalesce(timestamp, '?') || ': ' || title, '; ' ORDER BY pos) AS t
                            FROM events_of WHERE pos < 10 GROUP BY 1) e USING (query_id)""")
 CTES["chat_prompt_rows"] = f"""
-  SELECT m.query_id AS key, 'Conversation:' || chr(10) || coalesce(h.t, '') || chr(10) || 'New question: ' || m.text
-         || chr(10) || 'Evidence:' || chr(10) || coalesce(e.t, '') || chr(10) || 'Relations: ' || coalesce(r.t, '') || chr(10)
-         || CASE WHEN k.root_cause IS NULL THEN '' ELSE 'Reported root cause: ' || k.root_cause || ' (chain: '
-                 || array_to_string(k.chain, ' -> ') || ')' END AS prompt
+  SELECT m.query_id AS key, 'Asked now: ' || m.text || chr(10)
+         || CASE WHEN k.root_cause IS NULL THEN '' ELSE 'Our finding so far: ' || array_to_string(k.chain, ' -> ')
+                 || ', which began with ' || k.root_cause END
+         || chr(10) || 'Links in the graph: ' || coalesce(r.t, '') || chr(10) || 'What the records say:' || chr(10)
+         || coalesce(e.t, '') || chr(10) || 'Said before:' || chr(10) || coalesce(h.t, '') AS prompt
   FROM messages m LEFT JOIN known_reports k USING (investigation_id)
   LEFT JOIN (SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS t
              FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations)
@@ -942,6 +955,32 @@ oracle("readiness", "SELECT * FROM request_states")
 oracle("scoped_reads", """
   SELECT query_id, investigation_id, documents, chunks FROM request_states JOIN doc_counts USING (investigation_id)
   WHERE readiness = 'ready'""")
+CTES["two_texts"] = """
+  SELECT 'a-' || source AS investigation_id, CAST(doc_id AS VARCHAR) AS document_id, doc_id AS doc_seq, text FROM documents
+  UNION ALL SELECT 'b-' || source, CAST(doc_id AS VARCHAR), doc_id, 'queue timeout ' || text FROM documents"""
+CTES["two_chunks"] = _chunked("two_texts", 400, 60)
+CTES["two_named"] = """
+  SELECT investigation_id, investigation_id || '/' || chunk_id AS chunk_id, document_id, doc_seq, chunk_index, text
+  FROM two_chunks"""
+CTES["two_vectors"] = _embedded("two_named", "chunk_id", "text")
+CTES["two_questions"] = """
+  SELECT CAST(item_id AS VARCHAR) AS query_id,
+         CASE WHEN item_id % 2 = 0 THEN 'a-src' ELSE 'b-src' END || (item_id % 20) AS investigation_id, text
+  FROM benchmark"""
+CTES["two_question_vectors"] = _embedded("two_questions", "query_id", f"'{_PREFIX}' || text")
+CTES["two_hits"] = _searched("two_named", "two_vectors", "two_questions", "two_question_vectors")
+oracle("scoped_texts", """
+  SELECT query_id, rank, string_split(chunk_id, '/')[2] AS chunk_id,
+         string_split(chunk_id, '/')[1] || '/' || document_id AS source_document, md5(text) AS text_md5 FROM two_hits""")
+oracle("scoped_extraction", """
+  SELECT investigation_id, chunk_id, CASE WHEN starts_with(investigation_id, 'b-') THEN 'Of ' || investigation_id
+         ELSE coalesce(string_agg(d.name, ', ' ORDER BY d.ord), '') END AS names
+  FROM two_chunks c LEFT JOIN dict d ON contains(lower(c.text), d.kw) GROUP BY investigation_id, chunk_id""")
+oracle("modelled_causes", """
+  SELECT query_id, CASE WHEN (length(q.text) + 10) % 3 = 2 THEN 'Judged by a model' ELSE c.root_cause END AS root_cause,
+         CASE WHEN (length(q.text) + 10) % 3 = 1 THEN 'root_cause' END AS failed_stage, CAST(NULL AS VARCHAR) AS reason
+  FROM questions q JOIN causes c USING (query_id)
+  UNION ALL SELECT query_id || '-x', NULL, NULL, 'unknown investigation' FROM questions""")
 oracle("report_lookup", """
   SELECT r.query_id, r.investigation_id, c.documents AS report_documents,
          CASE WHEN r.investigation_id NOT IN (SELECT investigation_id FROM investigations) THEN 'unknown investigation'

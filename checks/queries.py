@@ -49,8 +49,9 @@ def _starts(nodes: DataFrame) -> DataFrame:
     return nodes.select("investigation_id", F.col("name").alias("start"))
 
 
-def _ranked(knowledge: ingest.Knowledge) -> DataFrame:
-    return investigate.central_nodes(knowledge, ROUNDS)
+def _knowledge(spark: SparkSession, folder: str) -> ingest.Knowledge:
+    """Chunks with vectors, the graph and its ranks, as investigations read them."""
+    return ingest.incident_knowledge(spark, folder, em.hashed_embedder(DIM), ROUNDS, rank=True)
 
 
 def _score(column: str, digits: int = 6) -> Column:
@@ -116,6 +117,42 @@ def page_texts(spark, folder):
     )
 
 
+def _text_files(spark: SparkSession, folder: str) -> str:
+    """The documents written as text files, a folder for each source."""
+    path = f"{shared_folder(spark).rstrip('/')}/texts-{uuid.uuid4().hex}"
+    _documents(spark, folder).select("source", "text").write.partitionBy("source").text(path)
+    return path
+
+
+def _source_of(path: Column) -> Column:
+    return F.regexp_extract(path, "source=([^/]+)/", 1).alias("source")
+
+
+@query
+def whole_files(spark, folder):
+    """Text files read whole: characters and lines of each source."""
+    texts = files.whole_texts(spark, _text_files(spark, folder))
+    return texts.groupBy(_source_of(F.col("stored_path"))).agg(
+        F.sum(F.length("text")).alias("characters"),
+        F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).cast("bigint").alias("lines"),
+        F.count("rejected").alias("rejected"),
+    )
+
+
+@query
+def text_file_lines(spark, folder):
+    """The same files line by line, however they are split: numbers run from 1 without gaps."""
+    lines = files.text_lines(spark, _text_files(spark, folder))
+    each = lines.groupBy("stored_path").agg(
+        F.count("*").alias("lines"),
+        F.sum(F.length("raw") + 1).alias("characters"),
+        (F.max("line_number") + F.min("line_number") - 1 - F.count_distinct("line_number")).alias("gaps"),
+    )
+    return each.groupBy(_source_of(F.col("stored_path"))).agg(
+        F.sum("lines").alias("lines"), F.sum("characters").alias("characters"), F.sum("gaps").alias("gaps")
+    )
+
+
 @query
 def log_line_scan(spark, folder):
     return files.log_lines(_documents(spark, folder), "doc_id").select(
@@ -168,6 +205,7 @@ def vector_store(spark, folder):
         F.concat(F.lit("label-"), F.col("label").cast("string")).alias("investigation_id"),
         F.col("vec_id").cast("string").alias("chunk_id"),
         F.col("label").cast("string").alias("document_id"),
+        F.lit(0).cast("bigint").alias("doc_seq"),
         F.col("vec_id").alias("chunk_index"),
         F.lit("").alias("text"),
         F.col("embedding").cast("array<double>").alias("embedding"),
@@ -367,7 +405,8 @@ def extraction_responses(keys: DataFrame) -> DataFrame:
             '", "type": "CAUSES", "confidence": 0.5}]}',
         ),
     }
-    return keys.select("key", _wrapped(clean, F.col("n") % 8, others).alias("response"))
+    scope = [c for c in keys.columns if c == "investigation_id"]
+    return keys.select(*scope, "key", _wrapped(clean, F.col("n") % 8, others).alias("response"))
 
 
 def _document_responses(spark: SparkSession, folder: str) -> DataFrame:
@@ -384,6 +423,7 @@ def _document_responses(spark: SparkSession, folder: str) -> DataFrame:
 def _chunk_responses(chunks: DataFrame) -> DataFrame:
     return extraction_responses(
         chunks.select(
+            "investigation_id",
             F.col("chunk_id").alias("key"),
             F.col("document_id").alias("a"),
             F.col("investigation_id").alias("b"),
@@ -654,7 +694,7 @@ def pagerank_converged(spark, folder):
 def pagerank_fixed_rounds_of_large_graphs(spark, folder):
     """The same, with every graph treated as too large for one task."""
     k = ingest.incident_knowledge(spark, folder)
-    return centrality.pagerank(k.nodes, k.edges, ROUNDS, small=0).select(
+    return centrality.pagerank(k.nodes, k.edges, ROUNDS, small_bytes=0).select(
         "investigation_id", "name", _score("score", 9)
     )
 
@@ -662,16 +702,26 @@ def pagerank_fixed_rounds_of_large_graphs(spark, folder):
 @query
 def pagerank_converged_of_large_graphs(spark, folder):
     k = ingest.incident_knowledge(spark, folder)
-    return centrality.pagerank(k.nodes, k.edges, small=0).select(
+    return centrality.pagerank(k.nodes, k.edges, small_bytes=0).select(
         "investigation_id", "name", _score("score", 9), "rounds"
     )
 
 
 @query
-def central_nodes(spark, folder):
-    return _ranked(ingest.incident_knowledge(spark, folder)).select(
-        "investigation_id", "rank", "name", _score("score", 9)
+def pagerank_with_stray_edges(spark, folder):
+    """Edges to names that are not nodes, both ways round: the ranks stay as they are."""
+    k = ingest.incident_knowledge(spark, folder)
+    stray = k.nodes.select(
+        "investigation_id", F.col("name").alias("source"), F.concat("name", F.lit("?")).alias("target")
     )
+    both = stray.unionByName(stray.select("investigation_id", F.col("target").alias("source"), F.col("source").alias("target")))
+    edges = k.edges.select("investigation_id", "source", "target").unionByName(both)
+    return centrality.pagerank(k.nodes, edges, ROUNDS).select("investigation_id", "name", _score("score", 9))
+
+
+@query
+def central_nodes(spark, folder):
+    return _knowledge(spark, folder).ranks.select("investigation_id", "rank", "name", _score("score", 9))
 
 
 @query
@@ -692,6 +742,15 @@ def upstream_causes_causal_only(spark, folder):
 def causal_paths(spark, folder):
     k = ingest.incident_knowledge(spark, folder)
     found = traversal.upstream(k.nodes, k.edges, _starts(k.nodes), hops=2)
+    return traversal.path_steps(found).select("investigation_id", "start", "step", "name")
+
+
+@query
+def causal_path_texts(spark, folder):
+    """The paths of the ERROR nodes as arrays, for show."""
+    k = ingest.incident_knowledge(spark, folder)
+    errors = _starts(k.nodes.filter(F.col("type") == "ERROR"))
+    found = traversal.upstream(k.nodes, k.edges, errors, hops=2)
     return traversal.causal_paths(found).select(
         "investigation_id", "start", F.array_join("path", " -> ").alias("path")
     )
@@ -833,25 +892,24 @@ class Case:
     """Knowledge, questions and graph context shared by the queries below."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.knowledge = ingest.incident_knowledge(spark, folder)
+        self.knowledge = _knowledge(spark, folder)
         self.questions = retrieval.asked(il.incident_questions(spark, folder))
         self.documents = il.incident_documents(spark, folder)
         self.embedder = em.hashed_embedder(DIM)
 
     def ranked(self) -> DataFrame:
-        return _ranked(self.knowledge)
+        return self.knowledge.ranks
 
     def context(self, ranked: DataFrame) -> retrieval.GraphContext:
         k = self.knowledge
         return retrieval.graph_context(self.questions, k.nodes, k.edges, ranked)
 
     def hits(self) -> DataFrame:
-        vectors = em.embed_documents(self.knowledge.chunks, self.embedder)
-        return materialize(vector_search.retrieve(vectors, self.questions, self.embedder))
+        return materialize(vector_search.retrieve(self.knowledge.chunks, self.questions, self.embedder))
 
     def investigate(self, responses=None) -> investigate.Investigation:
         return investigate.investigate(
-            self.knowledge, self.questions, self.embedder, self.documents, responses, ROUNDS
+            self.knowledge, self.questions, self.embedder, self.documents, responses
         )
 
 
@@ -1090,7 +1148,7 @@ def chat_answers(spark, folder):
     case = Case(spark, folder)
     known = _one_report_each(case.investigate().reports)
     return _flat_answers(
-        investigate.chat(case.knowledge, _messages(spark, folder), case.embedder, known, rounds=ROUNDS)
+        investigate.chat(case.knowledge, _messages(spark, folder), case.embedder, known)
     )
 
 
@@ -1104,7 +1162,7 @@ def chat_answers_from_responses(spark, folder):
     )
     known = _one_report_each(case.investigate().reports)
     return _flat_answers(
-        investigate.chat(case.knowledge, messages, case.embedder, known, responses, ROUNDS)
+        investigate.chat(case.knowledge, messages, case.embedder, known, responses)
     )
 
 
@@ -1150,8 +1208,7 @@ def chat_prompts(spark, folder):
     messages = _messages(spark, folder)
     outcome = case.investigate()
     k = case.knowledge
-    vectors = em.embed_documents(k.chunks, case.embedder)
-    found = retrieval.hybrid(messages, vectors, k.nodes, k.edges, outcome.ranked, case.embedder)
+    found = retrieval.hybrid(messages, k.chunks, k.nodes, k.edges, k.ranks, case.embedder)
     known = messages.select("query_id", "investigation_id").join(
         _one_report_each(outcome.reports).drop("query_id"), "investigation_id"
     )
@@ -1172,7 +1229,7 @@ def batch_inference(spark, folder):
     """A caller's model over a column of prompts; some prompts always fail."""
 
     def load():
-        def call(prompt: str) -> str:
+        def call(prompt: str, system: str | None) -> str:
             if "queue" in prompt:
                 raise ValueError("refused")
             return prompt[:20].upper()
@@ -1253,6 +1310,88 @@ def scoped_reads(spark, folder):
     )
 
 
+def _two_scopes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document in two investigations, under one id but with other text."""
+    documents = _documents(spark, folder)
+    scope = lambda name, text: documents.select(
+        F.concat(F.lit(name), "source").alias("investigation_id"),
+        F.col("doc_id").cast("string").alias("document_id"),
+        F.col("doc_id").alias("doc_seq"),
+        text.alias("text"),
+    )
+    first = scope("a-", F.col("text"))
+    return first.unionByName(scope("b-", F.concat(F.lit("queue timeout "), F.col("text"))))
+
+
+def _two_scope_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return chunking.with_chunk_id(
+        chunking.chunk_texts(_two_scopes(spark, folder), "investigation_id", "document_id", "doc_seq")
+    )
+
+
+@query
+def scoped_texts(spark, folder):
+    """Searches in stored vectors where every chunk id occurs in two investigations."""
+    embedder = em.hashed_embedder(DIM)
+    path = f"{shared_folder(spark).rstrip('/')}/scoped-{uuid.uuid4().hex}"
+    tables.write_vectors(em.embed_documents(_two_scope_chunks(spark, folder), embedder), path)
+    items = tables.table(spark, folder, "benchmark")
+    scope = F.concat(F.when(F.col("item_id") % 2 == 0, "a-src").otherwise("b-src"), (F.col("item_id") % 20).cast("string"))
+    questions = items.select(F.col("item_id").cast("string").alias("query_id"), scope.alias("investigation_id"), "text")
+    hits = materialize(vector_search.retrieve(tables.read_vectors(spark, path), questions, embedder))
+    names = _two_scopes(spark, folder).select(
+        "investigation_id", "document_id", F.concat_ws("/", "investigation_id", "document_id").alias("filename")
+    )
+    sources = reasoning.evidence(hits, names).select("query_id", "chunk_id", "source_document")
+    return hits.join(sources, ["query_id", "chunk_id"]).select(
+        "query_id", "rank", "chunk_id", "source_document", F.md5("text").alias("text_md5")
+    )
+
+
+@query
+def scoped_extraction(spark, folder):
+    """Recorded answers for one of two investigations with the same chunk ids."""
+    chunks = materialize(_two_scope_chunks(spark, folder))
+    given = chunks.filter(F.startswith("investigation_id", F.lit("b-"))).select(
+        "investigation_id",
+        F.col("chunk_id").alias("key"),
+        F.concat(F.lit('{"entities": [{"name": "Of '), "investigation_id", F.lit('", "type": "API"}]}')).alias("response"),
+    )
+    result = extraction.extraction(chunks, given)
+    return result.select(
+        "investigation_id", "chunk_id", F.array_join(F.transform("entities", lambda e: e["name"]), ", ").alias("names")
+    )
+
+
+@query
+def modelled_causes(spark, folder):
+    """A stand-in model asked stage by stage: it answers, garbles, or fails for good."""
+
+    def load():
+        def call(prompt: str, system: str | None) -> str:
+            kind = len(prompt.split("\n")[0]) % 3
+            if "root_cause" in system and kind == 1:
+                raise OSError("busy")
+            return '{"root_cause": "Judged by a model"}' if kind == 2 else "no answer"
+
+        return call
+
+    case = Case(spark, folder)
+    unknown = case.questions.select(
+        F.concat("query_id", F.lit("-x")).alias("query_id"), F.lit("inv-none").alias("investigation_id"), "text"
+    )
+    asked = case.questions.select("query_id", "investigation_id", "text").unionByName(unknown)
+    done = investigate.investigate(case.knowledge, asked, case.embedder, case.documents, model=load, tries=1)
+    ran = done.reports.join(done.errors.select("query_id", "stage"), "query_id", "left").select(
+        "query_id", "root_cause", F.col("stage").alias("failed_stage"), F.lit(None).cast("string").alias("reason")
+    )
+    return ran.unionByName(
+        done.refused.select(
+            "query_id", F.lit(None).cast("string").alias("root_cause"), F.lit(None).cast("string").alias("failed_stage"), "reason"
+        )
+    )
+
+
 @query
 def report_lookup(spark, folder):
     """Completed investigations have a report: its title is the document count."""
@@ -1297,11 +1436,10 @@ def _stream(spark: SparkSession, folder: str, sends: int) -> DataFrame:
     root = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{folder}/documents.parquet").schema
     for turn in range(sends):
-        arriving = (
+        arriving = (  # the pattern finds the table as one file and as a folder of files
             spark.readStream.schema(schema)
-            .option("maxFilesPerTrigger", 1)
-            .option("pathGlobFilter", "documents.parquet")
-            .parquet(folder)
+            .option("maxFilesPerTrigger", 4)
+            .parquet(f"{folder}/documents.parque[t]")
             .select(
                 F.col("source").alias("investigation_id"),
                 F.col("doc_id").cast("string").alias("document_id"),

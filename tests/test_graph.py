@@ -37,8 +37,8 @@ def _power(names, pairs, rounds=None):
     if not pairs:
         return dict.fromkeys(names, 0.0), 0
     out = {v: [a for a, b in pairs if b == v] for v in names}
-    x = dict.fromkeys(names, 1 / n)
-    for done in range(1, (rounds or 100) + 1):
+    x, done = dict.fromkeys(names, 1 / n), 0
+    for done in range(1, (100 if rounds is None else rounds) + 1):
         new = dict.fromkeys(names, 0.0)
         for v in names:
             for u in out[v]:
@@ -52,13 +52,15 @@ def _power(names, pairs, rounds=None):
     return x, done
 
 
-@pytest.mark.parametrize(
-    "rounds,small,hub,batch",
-    [(None, 1000, 1000, 20), (7, 1000, 1000, 20), (None, 0, 1000, 15), (5, 0, 2, 20), (5, 12, 3, 20)],
-)
+@pytest.mark.parametrize("small", [1 << 20, 0, 150])
+@pytest.mark.parametrize("rounds,hub,batch", [(None, 1000, 4), (7, 2, 3), (0, 1000, 5), (5, 3, 5)])
 def test_pagerank(spark, rounds, small, hub, batch):
+    """All paths give the same numbers; edges to unknown names have no part in them."""
     graphs = _random_graphs(12, 3)
-    scores = centrality.pagerank(*_tables(spark, graphs), rounds, small=small, hub=hub, batch=batch)
+    nodes, edges = _tables(spark, graphs)
+    stray = [("g0", graphs["g0"][0][0], "nobody", "CAUSES", 0.5, 99), ("g3", "nobody", graphs["g3"][0][0], "CAUSES", 0.5, 99)]
+    edges = edges.unionByName(spark.createDataFrame(stray, EDGES))
+    scores = centrality.pagerank(nodes, edges, rounds, small_bytes=small, hub=hub, batch=batch)
     got = {(r["investigation_id"], r["name"]): r for r in scores.collect()}
     assert len(got) == sum(len(names) for names, _ in graphs.values())
     for g, (names, pairs) in graphs.items():
@@ -68,10 +70,11 @@ def test_pagerank(spark, rounds, small, hub, batch):
             assert got[g, v]["rounds"] == done
 
 
-def test_ranked_nodes(spark):
-    nodes, edges = _tables(spark, {"g": (["c", "b", "a"], [])})
-    ranked = centrality.ranked_nodes(centrality.pagerank(nodes, edges), nodes, 2)
-    assert [(r["rank"], r["name"]) for r in ranked.orderBy("rank").collect()] == [(1, "c"), (2, "b")]
+def test_every_node_is_ranked(spark):
+    nodes, edges = _tables(spark, {"g": (["c", "b", "a"], []), "h": (["x", "y", "z"], [("x", "y"), ("x", "z")])})
+    ranked = centrality.ranked_nodes(centrality.pagerank(nodes, edges), nodes)
+    got = [(r["investigation_id"], r["rank"], r["name"]) for r in ranked.orderBy("investigation_id", "rank").collect()]
+    assert got == [("g", 1, "c"), ("g", 2, "b"), ("g", 3, "a"), ("h", 1, "x"), ("h", 2, "y"), ("h", 3, "z")]
 
 
 def _breadth_first(names, pairs, start, hops):
@@ -160,7 +163,7 @@ def _questions(spark, rows):
 def test_entities_by_keyword_or_centrality(spark):
     names = ["Redis", "Redis Timeout", "Command", "Api", "X", "Y", "Z"]
     nodes, edges = _tables(spark, {"g": (names, [("Redis", "Api"), ("Api", "Command"), ("X", "X")])})
-    ranked = centrality.ranked_nodes(centrality.pagerank(nodes, edges), nodes, 5)
+    ranked = centrality.ranked_nodes(centrality.pagerank(nodes, edges), nodes)
     questions = retrieval.asked(
         _questions(spark, [
             ("hit", "g", "why did REDIS fail redis?"),
