@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import types
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,11 +21,25 @@ def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Other columns go at once, so that no name of theirs can clash with one made later.
     """
+    bounded_batches(docs.sparkSession)
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
 
 
+def bounded_batches(spark: SparkSession, most: int = 4 << 20, rows: int = 2048) -> None:
+    """Have the session hand texts to Python in batches of a few megabytes.
+
+    The defaults, 64 MB and 10,000 rows, are held several times over on both sides of each
+    task. Smaller settings of the session stay. Results do not depend on it.
+    """
+    for name, limit in (("maxBytesPerBatch", most), ("maxRecordsPerBatch", rows)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(re.match(r"-?\d+", spark.conf.get(key))[0])
+        if not 0 < now <= limit:
+            spark.conf.set(key, str(limit))
+
+
 def lower_ascii(text: Column) -> Column:
     """``text`` with A-Z, and nothing else, in lower case."""
     return F.translate(text, _UPPER, _UPPER.lower())

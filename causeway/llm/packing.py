@@ -146,13 +146,12 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, codec = None, encoder(tokenizer)
         packer = Packer(capacity, levels, TaskContext.get().partitionId() * _TASK_SPAN)
-        for batch in batches:
-            for part in portions(batch):
-                ids, bounds = codec.encode(strings(part.column("text")))
-                for i, doc in enumerate(part.column("doc_id").to_pylist()):
-                    own = np.append(ids[bounds[i] : bounds[i + 1]], np.uint32(end_id)).astype("<u4")
-                    packer.add(doc, own)
-                yield _batch(packer.rows())
+        for part in portions(batches):
+            ids, bounds = codec.encode(strings(part.column("text")))
+            for i, doc in enumerate(part.column("doc_id").to_pylist()):
+                own = np.append(ids[bounds[i] : bounds[i + 1]], np.uint32(end_id)).astype("<u4")
+                packer.add(doc, own)
+            yield _batch(packer.rows())
         packer.finish()
         yield _batch(packer.rows())
 

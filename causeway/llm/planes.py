@@ -106,20 +106,19 @@ def chunks(
                 each.clear()
             yield _row(row)
 
-        for batch in batches:
-            for part in portions(batch):
-                ids, bounds = codec.encode(strings(part.column("text")))
-                buckets = part.column("bucket").to_pylist()
-                for i, doc in enumerate(part.column("doc_id").to_pylist()):
-                    if buckets[i] != shard:
-                        yield from close()
-                        shard, chunk, first = buckets[i], 0, 0
-                    held.append(np.append(ids[bounds[i] : bounds[i + 1]], np.uint32(end_id)))
-                    doc_ids.append(doc)
-                    doc_tokens.append(len(held[-1]))
-                    gathered += len(held[-1])
-                    if gathered >= chunk_ids:
-                        yield from close()
+        for part in portions(batches):
+            ids, bounds = codec.encode(strings(part.column("text")))
+            buckets = part.column("bucket").to_pylist()
+            for i, doc in enumerate(part.column("doc_id").to_pylist()):
+                if buckets[i] != shard:
+                    yield from close()
+                    shard, chunk, first = buckets[i], 0, 0
+                held.append(np.append(ids[bounds[i] : bounds[i + 1]], np.uint32(end_id)))
+                doc_ids.append(doc)
+                doc_tokens.append(len(held[-1]))
+                gathered += len(held[-1])
+                if gathered >= chunk_ids:
+                    yield from close()
         yield from close()
 
     return ordered.mapInArrow(run, CHUNK)

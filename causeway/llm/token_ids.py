@@ -180,17 +180,27 @@ def encoder(path: str) -> Encoder:
     return state.get(("encoder", path)) or state.setdefault(("encoder", path), Encoder(path))
 
 
-def portions(batch: pa.RecordBatch, column: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``most`` bytes of text each, at least one row."""
-    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    at, total = 0, 0
-    for i, n in enumerate(lengths):
-        if total and total + n > most:
-            yield batch.slice(at, i - at)
-            at, total = i, 0
-        total += int(n)
-    if at < batch.num_rows:
-        yield batch.slice(at)
+def portions(
+    batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 8 << 20
+) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in portions of about ``most`` bytes of text, at least one row."""
+    held, weight = [], 0
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        at = 0
+        for i, n in enumerate(lengths.tolist()):
+            if weight and weight + n > most:
+                yield _merged([*held, batch.slice(at, i - at)])
+                held, weight, at = [], 0, i
+            weight += n
+        held.append(batch.slice(at))
+    if held:
+        yield _merged(held)
+
+
+def _merged(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    merged = pa.Table.from_batches(batches).combine_chunks().to_batches()
+    return merged[0] if merged else batches[0]
 
 
 def strings(column: pa.Array) -> pa.Array:

@@ -170,11 +170,10 @@ def encode_decode(
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoder(tokenizer)
         decoder = Decoder(codec)
-        for batch in batches:
-            for part in portions(batch):
-                ids, bounds = codec.encode(strings(part.column("text")))
-                found = [decoder.digests(ids[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
-                yield _batch(part.column("doc_id"), found)
+        for part in portions(batches):
+            ids, bounds = codec.encode(strings(part.column("text")))
+            found = [decoder.digests(ids[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+            yield _batch(part.column("doc_id"), found)
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoder(tokenizer)
