@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,8 +17,7 @@ from causeway.llm.common import ids_and_texts, ordered_buckets, partitions
 
 _HASHES = 3
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)  # of a common bit mixer
-_CELLS_AT_ONCE = 1 << 20
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+_CELLS_AT_ONCE = 1 << 17
 SCHEMA = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
     "near_edited double, near_next double, edited_cells int, next_cells int"
@@ -29,12 +27,12 @@ SCHEMA = (
 def paragraph_digests(text: str, words: int = 8) -> np.ndarray:
     """64-bit digests of the parts of a text's paragraphs, all different.
 
-    A paragraph falls into sentences and these into parts of at most ``words`` words. The
+    A paragraph (a line) falls into sentences and these into parts of at most ``words`` words. The
     n-th occurrence of a part is hashed with the seed n, so that repeats count.
     """
     seen: dict[bytes, int] = {}
     out, digest = [], xxhash.xxh3_64_intdigest
-    for sentence in _SENTENCE.split(text):
+    for sentence in text.replace("\n", ". ").replace("! ", ". ").replace("? ", ". ").split(". "):
         own = sentence.split()
         for at in range(0, len(own), words):
             part = " ".join(own[at : at + words]).encode()
@@ -136,38 +134,46 @@ def peel(difference: Tables) -> tuple[np.ndarray, list[np.ndarray], list[np.ndar
 
 
 def differences(
-    sets: list[np.ndarray], pairs: list[tuple[int, int]], cells: int = 24, growth: int = 3
+    sets: list[np.ndarray], pairs: list[tuple[int, int]], cells: int = 24
 ) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, Tables]:
     """For each pair of key sets the keys of one alone, by subtracting and peeling tables.
 
-    Pairs that do not peel are tried again with tables ``growth`` times as large and other
-    hashes, until all have peeled. Returns both sides, the table size that each pair took,
-    and the first tables.
+    Pairs that do not peel are tried again with larger tables and other hashes, until all
+    have peeled. How much larger follows from the table that failed: each differing key adds
+    about one to the sum of the squared deviations of the counts, for each of its cells; and
+    there are at least as many as the sets differ in size. Returns both sides, the
+    table size that each pair took, and the first tables.
     """
     base = tables(sets, cells)
     left: list = [None] * len(pairs)
     right: list = [None] * len(pairs)
     took = np.zeros(len(pairs), dtype=np.int32)
-    waiting, size, salt = np.arange(len(pairs)), cells, 0
-    while len(waiting):
+    waiting = {cells: list(range(len(pairs)))}
+    while waiting:
+        size = min(waiting)
+        todo = waiting.pop(size)
         step = max(1, _CELLS_AT_ONCE // size)
-        failed = []
-        for at in range(0, len(waiting), step):
-            part = waiting[at : at + step]
+        for at in range(0, len(todo), step):
+            part = todo[at : at + step]
             a, b = (np.array([pairs[i][k] for i in part]) for k in (0, 1))
-            if salt:
+            if size > cells:
                 used, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-                own = tables([sets[i] for i in used], size, salt)
+                own = tables([sets[i] for i in used], size, size)
                 difference = own.minus(place[: len(a)], place[len(a) :])
             else:
                 difference = base.minus(a, b)
+            expected = np.maximum(
+                difference.count.var(axis=1) * size, np.abs(difference.count.sum(axis=1))
+            ) / _HASHES
             done, only_a, only_b = peel(difference)
-            for i, ok, x, y in zip(part, done, only_a, only_b):
+            for i, ok, x, y, d in zip(part, done, only_a, only_b, expected):
                 if ok:
                     left[i], right[i], took[i] = x, y, size
                 else:
-                    failed.append(i)
-        waiting, size, salt = np.array(failed, dtype=np.int64), size * growth, salt + 1
+                    larger = size
+                    while larger <= size or larger < 1.5 * d:
+                        larger *= 2
+                    waiting.setdefault(larger, []).append(i)
     return left, right, took, base
 
 
