@@ -27,8 +27,8 @@ SCHEMA = (
 def paragraph_digests(text: str, words: int = 8) -> np.ndarray:
     """64-bit digests of the parts of a text's paragraphs, all different.
 
-    A paragraph (a line) falls into sentences and these into parts of at most ``words`` words. The
-    n-th occurrence of a part is hashed with the seed n, so that repeats count.
+    A paragraph (a line) falls into sentences and these into parts of at most ``words``
+    words. The n-th occurrence of a part is hashed with its number, so that repeats count.
     """
     seen: dict[bytes, int] = {}
     out, digest = [], xxhash.xxh3_64_intdigest
@@ -38,8 +38,8 @@ def paragraph_digests(text: str, words: int = 8) -> np.ndarray:
             part = " ".join(own[at : at + words]).encode()
             n = seen.get(part, 0)
             seen[part] = n + 1
-            out.append(digest(part, n))
-    return np.array(out, dtype=np.uint64)
+            out.append(digest(b"%s\0%d" % (part, n) if n else part))
+    return np.unique(np.array(out, dtype=np.uint64))
 
 
 def _mixed(keys: np.ndarray, salt: int) -> np.ndarray:
@@ -109,7 +109,7 @@ def peel(difference: Tables) -> tuple[np.ndarray, list[np.ndarray], list[np.ndar
     """Recover the keys of differences: (was all recovered, keys of a alone, keys of b alone)."""
     n, cells = difference.count.shape
     left: list[np.ndarray] = []
-    while True:
+    for _ in range(2 * cells):  # a key that only seems alone in its cell could come back for ever
         owner, cell = np.nonzero(np.abs(difference.count) == 1)
         keys = difference.keys[owner, cell]
         pure = difference.checks[owner, cell] == _check(keys)

@@ -97,6 +97,12 @@ def test_peeling_recovers_the_difference():
     assert took[2] == 24 and took[4] > 700  # a larger difference takes a larger table
 
 
+def test_digests_of_a_text_differ():
+    text = "a a a b. a. b. a\n" * 500 + "n. " * 3000
+    digests = fingerprints.paragraph_digests(text, words=1)
+    assert len(digests) == len(set(digests.tolist())) == len(text.replace(".", " ").split())
+
+
 def _likeness(a, b):
     a, b = (set(fingerprints.paragraph_digests(t).tolist()) for t in (a, b))
     return 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
