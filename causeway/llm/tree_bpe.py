@@ -9,13 +9,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.common import ids_and_texts, partitions
+from causeway.llm.common import ids_and_texts, partitions, worker_state
 from causeway.llm.token_ids import Encoder, encoder, portions, strings
 
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+_WINDOW = 4096
 _RUN = 256  # characters; a longer unit falls into pieces at its tokens
 
 
@@ -47,8 +49,12 @@ def pieces(codec: Encoder, text: str, at: int = 0) -> Encoded:
     units = text.replace("\n", " ").split(" ")
     begins = np.cumsum([0, *(len(u) + 1 for u in units)])[:-1] + at
     long = [i for i, u in enumerate(units) if len(u) > _RUN]
-    short = pa.array(["" if len(u) > _RUN else u for u in units], type=pa.large_string())
-    ids, sizes = codec.unit_ids(short)
+    short = ["" if len(u) > _RUN else u for u in units]
+    if len(text) < _WINDOW:  # a window around a join: setting up a batch would cost more
+        found = [codec.one(u) for u in short]
+        ids, sizes = np.concatenate(found), np.array([len(x) for x in found], dtype=np.int64)
+    else:
+        ids, sizes = codec.unit_ids(pa.array(short, type=pa.large_string()))
     whole = Encoded(begins, begins + [len(u) for u in units], sizes, ids)
     if not long:
         return _filled(whole)
@@ -59,6 +65,25 @@ def pieces(codec: Encoder, text: str, at: int = 0) -> Encoded:
     return _filled(concatenated([*out, whole.part(last, len(units))]))
 
 
+def pieces_of_each(codec: Encoder, texts: pa.Array) -> Iterator[Encoded]:
+    """``pieces`` of each of many texts, from 0, with each distinct unit encoded once."""
+    words, codes, counts = codec.units(texts)
+    pool, sizes = codec.unit_ids(words)
+    starts = np.cumsum(sizes) - sizes
+    lengths = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(counts)
+    for i, (a, b) in enumerate(zip(ends - counts, ends)):
+        own = codes[a:b]
+        if (lengths[own] > _RUN).any():
+            yield pieces(codec, texts[i].as_py())
+            continue
+        begins = np.cumsum(lengths[own] + 1) - lengths[own] - 1
+        n = sizes[own]
+        total = np.cumsum(n)
+        take = np.arange(int(total[-1]) if len(total) else 0) + np.repeat(starts[own] - (total - n), n)
+        yield _filled(Encoded(begins, begins + lengths[own], n, pool[take]))
+
+
 def _filled(encoded: Encoded) -> Encoded:
     keep = encoded.sizes > 0
     return Encoded(encoded.begins[keep], encoded.ends[keep], encoded.sizes[keep], encoded.ids)
@@ -127,26 +152,40 @@ def encode_tree(codec: Encoder, text: str, leaves: list[Encoded], leaf: int) ->
 
 
 class Decoder:
-    """Token strings by id; ``text`` is what the library's decode gives with special tokens."""
+    """Token strings by id; a text is what the library's decode gives with special tokens."""
 
     def __init__(self, codec: Encoder):
-        library = codec.library
-        self.plain = library.decoder is None
-        self.library = library
-        self.names = [library.id_to_token(i) or "" for i in range(library.get_vocab_size(True))]
-        self.numbers = [str(i) for i in range(len(self.names))]
+        self.library = codec.library
+        size = self.library.get_vocab_size(True)
+        self.names = pa.array([self.library.id_to_token(i) or "" for i in range(size)])
+        self.numbers = pa.array([str(i) for i in range(size)])
+
+    def digests(self, ids: np.ndarray, bounds: np.ndarray) -> list[tuple[int, str, str]]:
+        """Length and digests of the listed ids and of the decoded text, for each stretch of ids."""
+        listed = _joined(self.numbers, ids, bounds)
+        if self.library.decoder is None:  # then tokens are parted by spaces
+            decoded = _joined(self.names, ids, bounds)
+        else:
+            parts = (ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:]))
+            decoded = (self.library.decode(x, skip_special_tokens=False).encode() for x in parts)
+        return [
+            (int(n), hashlib.sha256(x).hexdigest(), hashlib.sha256(y).hexdigest())
+            for n, x, y in zip(np.diff(bounds), listed, decoded)
+        ]
 
-    def text(self, ids: list[int]) -> str:
-        if not self.plain:
-            return self.library.decode(ids, skip_special_tokens=False)
-        return " ".join(map(self.names.__getitem__, ids))
 
-    def digests(self, ids: np.ndarray) -> tuple[int, str, str]:
-        numbers = ids.tolist()
-        listed = " ".join(map(self.numbers.__getitem__, numbers))
-        return len(numbers), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(
-            self.text(numbers).encode()
-        ).hexdigest()
+def _joined(names: pa.Array, ids: np.ndarray, bounds: np.ndarray) -> Iterator[bytes]:
+    """The names of each stretch of ids, with spaces between, in UTF-8."""
+    for a in range(0, len(bounds) - 1, 4096):
+        own = bounds[a : a + 4097]
+        values = names.take(pa.array(ids[own[0] : own[-1]]))
+        if len(values) < 1 << 26:
+            lists = pa.ListArray.from_arrays(pa.array(own - own[0], type=pa.int32()), values)
+            for text in pc.binary_join(lists, " "):
+                yield text.as_buffer().to_pybytes()
+        else:  # beyond what 32-bit offsets hold
+            for x, y in zip(own[:-1] - own[0], own[1:] - own[0]):
+                yield " ".join(values[int(x) : int(y)].to_pylist()).encode()
 
 
 def encode_decode(
@@ -169,33 +208,36 @@ def encode_decode(
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoder(tokenizer)
-        decoder = Decoder(codec)
+        decoder = _decoder(tokenizer)
         for part in portions(batches):
             ids, bounds = codec.encode(strings(part.column("text")))
-            found = [decoder.digests(ids[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
-            yield _batch(part.column("doc_id"), found)
+            yield _batch(part.column("doc_id"), decoder.digests(ids, bounds))
+
+    small = "<u2" if leaf < 1 << 16 else "<u4"  # of what lies within a leaf
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoder(tokenizer)
-        for batch in batches:
-            for row in batch.to_pylist():
-                found = pieces(codec, row["text"], row["leaf"] * leaf)
-                names = ["doc_id", "text_key", "leaf", "text", "begins", "ends", "sizes", "ids"]
-                parts = [x.astype("<i8").tobytes() for x in (found.begins, found.ends, found.sizes)]
-                values = [*(row[k] for k in names[:4]), *parts, found.ids.astype("<u4").tobytes()]
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), *[pa.binary()] * 4]
-                yield pa.record_batch([pa.array([v], type=k) for v, k in zip(values, kinds)], names)
+        for part in portions(batches):
+            found = list(pieces_of_each(codec, strings(part.column("text"))))
+            parts = [
+                pa.array([getattr(x, name).astype(kind).tobytes() for x in found], type=pa.binary())
+                for name, kind in (("begins", small), ("ends", small), ("sizes", "<u4"), ("ids", "<u4"))
+            ]
+            names = ["doc_id", "text_key", "leaf", "text"]
+            columns = [part.column(name) for name in names]
+            yield pa.record_batch([*columns, *parts], [*names, "begins", "ends", "sizes", "ids"])
 
     def joined(group: pd.DataFrame) -> pd.DataFrame:
         codec = encoder(tokenizer)
         copies = int((group["leaf"] == 0).sum())  # a repeated row brings its leaves again
         own = group.drop_duplicates("leaf").sort_values("leaf")
-        encoded = [
-            Encoded(*(np.frombuffer(x, dtype="<i8") for x in (r.begins, r.ends, r.sizes)), np.frombuffer(r.ids, "<u4"))
-            for r in own.itertuples()
-        ]
+        encoded = []
+        for r in own.itertuples():
+            begins, ends = (np.frombuffer(x, small).astype(np.int64) + r.leaf * leaf for x in (r.begins, r.ends))
+            encoded.append(Encoded(begins, ends, np.frombuffer(r.sizes, "<u4").astype(np.int64), np.frombuffer(r.ids, "<u4")))
         ids = encode_tree(codec, "".join(own["text"]), encoded, leaf)
-        row = (own["doc_id"].iloc[0], *Decoder(codec).digests(ids))
+        (found,) = _decoder(tokenizer).digests(ids, np.array([0, len(ids)]))
+        row = (own["doc_id"].iloc[0], *found)
         return pd.DataFrame([row] * copies, columns=[c.split()[0] for c in RESULT.split(", ")])
 
     length = F.length("text")
@@ -213,6 +255,12 @@ def encode_decode(
     return short.unionByName(dealt.groupBy("doc_id", "text_key").applyInPandas(joined, RESULT))
 
 
+def _decoder(path: str) -> Decoder:
+    """The worker's decoder for ``path``, made once."""
+    state = worker_state()
+    return state.get(("decoder", path)) or state.setdefault(("decoder", path), Decoder(encoder(path)))
+
+
 def _batch(doc_ids: pa.Array, found: list[tuple]) -> pa.RecordBatch:
     n, ids, decoded = zip(*found) if found else ((), (), ())
     return pa.record_batch(

@@ -83,7 +83,7 @@ def _digests(ids, tokenizer):
 
 def test_encode_and_decode(spark, odd, real):
     tokenizer, one = Tokenizer.from_file(WORD), library(WORD)
-    for docs, leaf in ((odd, 1000), (real, 700)):
+    for docs, leaf in ((odd, 1000), (real, 4000)):
         got = Counter(map(tuple, tree_bpe.encode_decode(docs, WORD, leaf=leaf).collect()))
         assert got == Counter((r.doc_id, *_digests(one(r.text), tokenizer)) for r in docs.collect())
 
