@@ -86,3 +86,55 @@ WITH t AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AND copy = 1 AS kept, text_sha256 FROM n
 """,
 }
+
+
+def _license_sql(least: float = 0.7) -> str:
+    """The licence scan over whole word lists, without an index."""
+    words = sorted({w for _, text, _ in licenses.TEMPLATES for w in text.split()} | {w for p in licenses.BASE for w in p.split()})
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+    def places(phrase: str) -> str:
+        same = " AND ".join(f"w[i + {n + 1}] = '{word}'" for n, word in enumerate(phrase.split()))
+        return f"list_filter(range(len(w)), lambda i: {same})"
+
+    def cover(text: str, key: str) -> str:
+        own = text.split()
+        at = next(n for n in range(len(own)) if own[n:][: len(key.split())] == key.split())
+        total = " + ".join(f"idf['{x}']" for x in own)
+        parts = " + ".join(
+            f"CASE WHEN b + {n - at} >= 0 AND w[greatest(b + {n - at}, 0) + 1] = '{x}' THEN idf['{x}'] / ({total}) ELSE 0 END"
+            for n, x in enumerate(own)
+        )
+        return f"coalesce(list_max(list_transform({places(key)}, lambda b: {parts})), 0)"
+
+    base = list(licenses.BASE.items())
+    covers = ", ".join(f"{cover(t[1], t[2])} AS c{n}" for n, t in enumerate(licenses.TEMPLATES))
+    found = ", ".join(f"{places(p)} AS p{n}" for n, (p, _) in enumerate(base))
+    labels = [f"CASE WHEN len(p{n}) > 0 THEN '{label}' END" for n, (_, label) in enumerate(base)]
+    more = [f"CASE WHEN c{n} >= {least} THEN '{t[0]}' END" for n, t in enumerate(licenses.TEMPLATES)]
+    every = " || ".join(f"p{n}" for n in range(len(base)))
+
+    def listed(parts: list[str]) -> str:
+        return f"array_to_string(list_sort(list_distinct([{', '.join(parts)}])), ',')"
+
+    return f"""
+WITH t AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '{licenses.WORD}') AS w
+    FROM documents
+), df AS (
+    SELECT word, count(*) AS n FROM (SELECT unnest(list_distinct(w)) AS word FROM t) GROUP BY word
+), v AS (
+    SELECT map_from_entries(list((word, ln(((SELECT count(*) FROM t) + 1) / (coalesce(n, 0) + 1)) + 1))) AS idf
+    FROM (SELECT unnest({words}) AS word) LEFT JOIN df USING (word)
+), f AS (
+    SELECT doc_id, w, {found}, {covers} FROM t, v
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len({every}) AS BIGINT) AS n_base,
+    CAST(list_min({every}) AS BIGINT) AS first_word, CAST(list_max({every}) AS BIGINT) AS last_word,
+    {listed(labels)} AS base_labels, {listed(labels + more)} AS labels,
+    least(1.0, round(CAST(greatest({', '.join(f'c{n}' for n in range(len(licenses.TEMPLATES)))}) AS DOUBLE), 9))::DOUBLE AS score
+FROM f
+"""
+
+
+ORACLES["op4_license_scan"] = _license_sql()
