@@ -58,7 +58,8 @@ def chunk_lines(
     """Chunks of documents that come as lines, of any length.
 
     No document is ever gathered in one place. ``order`` is a non-negative number that
-    orders the lines of a document. Word positions are a prefix sum in two levels: per
+    orders the lines of a document: a line number, or one with gaps, as long as ``block``
+    successive values hold many lines (a time stamp needs a larger ``block``). Word positions are a prefix sum in two levels: per
     block of ``block`` order values, then over the few block totals. Each line then
     sends its words to the windows that hold them, so the largest group is one chunk.
     """
@@ -117,10 +118,6 @@ def chunk_lines(
     pieces = placed.select(
         *keys, "total", F.explode(F.transform(F.sequence(first, last), piece)).alias("p")
     ).select(*keys, "total", "p.*")
-    # One shuffle with a stated number of partitions serves the grouping too. Chunks are
-    # small but the steps that follow are costly, so they must not be merged by size.
-    partitions = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pieces = pieces.repartition(partitions, *keys, "chunk_index")
     joined = F.array_sort(F.collect_list(F.struct("at", "text")))
     return (
         pieces.groupBy(*keys, "chunk_index")
