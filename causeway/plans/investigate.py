@@ -6,6 +6,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
+from causeway import schemas
 from causeway.functions.embedding import Embedder
 from causeway.operators import prompts, reasoning, registry, retrieval
 from causeway.operators.prompts import Model
@@ -130,7 +131,7 @@ def chat(
     """Answers to follow-up messages; ``reports(investigation_id, ...)`` has one report each.
 
     Answers of a model are recorded in ``responses`` or come from ``model``, which also
-    gets the last messages of ``history`` (then ``messages`` need ``conv_id``).
+    gets the last messages of ``history`` if ``messages`` have a ``conv_id``.
     """
     _usable(knowledge)
     found = retrieval.hybrid(
@@ -143,9 +144,13 @@ def chat(
     evidence = reasoning.evidence(materialize(found.hits))
     answers = reasoning.answers(messages, evidence, found.context.entities, known, tie_break)
     source = _Answers(None if responses is None else {"answer": responses}, model, tries)
-    given = source.of(
-        "answer", lambda: prompts.chat_prompts(messages, history, evidence, found.context.relations, known)
-    )
+
+    def asked() -> DataFrame:
+        talk = messages if "conv_id" in messages.columns else messages.withColumn("conv_id", F.col("query_id"))
+        said = talk.sparkSession.createDataFrame([], schemas.CHAT_HISTORY) if history is None else history
+        return prompts.chat_prompts(talk, said, evidence, found.context.relations, known)
+
+    given = source.of("answer", asked)
     if given is not None:
         answers = reasoning.prefer(reasoning.answers_from_responses(given), answers)
     return answers

@@ -811,6 +811,7 @@ oracle("exported_edges", """
   SELECT source || '->' || target || ':' || type AS id, investigation_id, source, target, type, confidence, evidence_chunk_id FROM edges""")
 oracle("graph_scan", "SELECT * FROM sizes")
 oracle("graph_sizes", "SELECT * FROM sizes")
+oracle("graph_of_one", "SELECT * FROM sizes WHERE investigation_id = 'inv-3'")
 oracle("edge_types_and_top_entities", """
   SELECT t.investigation_id, t.rank, t.name, t.mentions, coalesce(causes, 0) AS causes, coalesce(related, 0) AS related
   FROM (SELECT *, CAST(row_number() OVER (PARTITION BY investigation_id ORDER BY mentions DESC, name) AS INTEGER) AS rank
@@ -1052,7 +1053,8 @@ oracle("appended_chunks", """
   FROM (SELECT investigation_id, document_id FROM doc_chunks
         UNION ALL SELECT investigation_id, document_id FROM page_chunks) GROUP BY 1""")
 oracle("ingest_summary", """
-  SELECT c.investigation_id, c.documents, c.chunks, coalesce(s.nodes, 0) AS nodes, coalesce(s.edges, 0) AS edges
+  SELECT c.investigation_id, c.documents, c.chunks, c.chunks AS vectors, coalesce(s.nodes, 0) AS nodes,
+         coalesce(s.edges, 0) AS edges, coalesce(s.nodes, 0) AS ranked
   FROM (SELECT investigation_id, count(DISTINCT document_id) AS documents, count(*) AS chunks FROM chunks GROUP BY 1) c
   LEFT JOIN sizes s USING (investigation_id)""")
 

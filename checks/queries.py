@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from causeway import schemas
 from causeway.functions import embedding as em
 from causeway.functions import responses as rs
 from causeway.functions import scores as sc
@@ -624,6 +625,16 @@ def graph_scan(spark, folder):
     return graph.graph_size(nodes, edges)
 
 
+@query
+def graph_of_one(spark, folder):
+    """The stored graph of one investigation, read from its folder alone."""
+    path = f"{shared_folder(spark).rstrip('/')}/graph-{uuid.uuid4().hex}"
+    k = ingest.incident_knowledge(spark, folder)
+    tables.write_graph(k.nodes, k.edges, path)
+    nodes, edges = tables.read_graph(spark, path, "inv-3", (schemas.GRAPH_NODES, schemas.GRAPH_EDGES))
+    return graph.graph_size(nodes, edges)
+
+
 @query
 def graph_sizes(spark, folder):
     k = ingest.incident_knowledge(spark, folder)
@@ -1420,10 +1431,14 @@ def appended_chunks(spark, folder):
 @query
 def ingest_summary(spark, folder):
     """What one ingest run made of the incident corpus."""
-    k = ingest.incident_knowledge(spark, folder)
+    k = _knowledge(spark, folder)
+    vectors = k.chunks.groupBy("investigation_id").agg(F.count("embedding").alias("vectors"))
+    ranked = k.ranks.groupBy("investigation_id").agg(F.max("rank").cast("bigint").alias("ranked"))
     return (
         registry.upload_counts(k.chunks)
+        .join(vectors, "investigation_id", "left")
         .join(graph.graph_size(k.nodes, k.edges), "investigation_id", "left")
+        .join(ranked, "investigation_id", "left")
         .na.fill(0)
     )
 

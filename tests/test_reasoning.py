@@ -314,6 +314,11 @@ def test_model_runs_stage_by_stage(spark):
     (report,) = outcome.reports.collect()
     assert (report["root_cause"], report["executive_summary"]) == ("Worn disk", "By the model")
     assert outcome.timelines.count() > 0 and outcome.errors.count() == 0
+    (answer,) = investigate.chat(
+        knowledge, questions.filter("query_id = 'a'"), embedder, outcome.reports.drop("query_id"),
+        model=lambda: lambda prompt, system: '{"answer": "From the model"}' if "Worn disk" in prompt else "",
+    ).collect()
+    assert answer["answer"] == "From the model"
     failing = investigate.investigate(
         knowledge, questions.filter("query_id = 'b'"), embedder, responses={"timeline": spark.createDataFrame([], schemas.RESPONSES)},
         model=lambda: lambda prompt, system: (_ for _ in ()).throw(OSError("busy")),
