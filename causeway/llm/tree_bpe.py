@@ -10,10 +10,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causeway.llm.common import ids_and_texts, partitions, worker_state
+from causeway.llm.planes import from_planes, to_planes
 from causeway.llm.token_ids import Encoder, encoder, portions, strings
 
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -39,6 +41,25 @@ class Encoded:
         return int(self.begins[i]), int(self.ends[i]), self.ids[at : at + int(self.sizes[i])].tobytes()
 
 
+def packed(encoded: Encoded) -> bytes:
+    """An encoding that begins at 0, small: gaps and lengths of pieces, in compressed byte planes."""
+    gaps = encoded.begins - np.concatenate([[0], encoded.ends[:-1]])
+    counts = np.array([len(encoded.sizes), len(encoded.ids)])
+    numbers = np.concatenate([counts, gaps, encoded.ends - encoded.begins, encoded.sizes, encoded.ids])
+    return zstandard.compress(b"".join(to_planes(numbers.astype("<u4"), "byte")), 1)
+
+
+def unpacked(raw: bytes, at: int = 0) -> Encoded:
+    """What ``packed`` made, moved to begin at ``at``."""
+    planes = zstandard.decompress(raw)
+    n = len(planes) // 4
+    numbers = from_planes([planes[i * n : (i + 1) * n] for i in range(4)], n, "byte").astype(np.int64)
+    pieces = int(numbers[0])
+    gaps, lengths, sizes = numbers[2 : 2 + 3 * pieces].reshape(3, pieces)
+    ends = np.cumsum(gaps + lengths) + at
+    return Encoded(ends - lengths, ends, sizes, numbers[2 + 3 * pieces :].astype(np.uint32))
+
+
 def concatenated(parts: list[Encoded]) -> Encoded:
     return Encoded(*(np.concatenate([getattr(p, k) for p in parts]) for k in ("begins", "ends", "sizes", "ids")))
 
@@ -213,28 +234,19 @@ def encode_decode(
             ids, bounds = codec.encode(strings(part.column("text")))
             yield _batch(part.column("doc_id"), decoder.digests(ids, bounds))
 
-    small = "<u2" if leaf < 1 << 16 else "<u4"  # of what lies within a leaf
-
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoder(tokenizer)
         for part in portions(batches):
-            found = list(pieces_of_each(codec, strings(part.column("text"))))
-            parts = [
-                pa.array([getattr(x, name).astype(kind).tobytes() for x in found], type=pa.binary())
-                for name, kind in (("begins", small), ("ends", small), ("sizes", "<u4"), ("ids", "<u4"))
-            ]
+            found = [packed(x) for x in pieces_of_each(codec, strings(part.column("text")))]
             names = ["doc_id", "text_key", "leaf", "text"]
             columns = [part.column(name) for name in names]
-            yield pa.record_batch([*columns, *parts], [*names, "begins", "ends", "sizes", "ids"])
+            yield pa.record_batch([*columns, pa.array(found, type=pa.binary())], [*names, "encoded"])
 
     def joined(group: pd.DataFrame) -> pd.DataFrame:
         codec = encoder(tokenizer)
         copies = int((group["leaf"] == 0).sum())  # a repeated row brings its leaves again
         own = group.drop_duplicates("leaf").sort_values("leaf")
-        encoded = []
-        for r in own.itertuples():
-            begins, ends = (np.frombuffer(x, small).astype(np.int64) + r.leaf * leaf for x in (r.begins, r.ends))
-            encoded.append(Encoded(begins, ends, np.frombuffer(r.sizes, "<u4").astype(np.int64), np.frombuffer(r.ids, "<u4")))
+        encoded = [unpacked(r.encoded, r.leaf * leaf) for r in own.itertuples()]
         ids = encode_tree(codec, "".join(own["text"]), encoded, leaf)
         (found,) = _decoder(tokenizer).digests(ids, np.array([0, len(ids)]))
         row = (own["doc_id"].iloc[0], *found)
@@ -250,7 +262,7 @@ def encode_decode(
     )
     dealt = cut.repartition(partitions(docs), "doc_id", "text_key", "leaf").mapInArrow(
         leaves,
-        "doc_id long, text_key long, leaf int, text string, begins binary, ends binary, sizes binary, ids binary",
+        "doc_id long, text_key long, leaf int, text string, encoded binary",
     )
     return short.unionByName(dealt.groupBy("doc_id", "text_key").applyInPandas(joined, RESULT))
 
