@@ -875,7 +875,7 @@ def model_embeddings(spark, folder):
 @query
 def retrieved_chunks(spark, folder):
     embedder = em.hashed_embedder(DIM)
-    chunks = em.embed_documents(materialize(ingest.incident_chunks(spark, folder)), embedder)
+    chunks = materialize(em.embed_documents(ingest.incident_chunks(spark, folder), embedder))
     questions = retrieval.asked(il.incident_questions(spark, folder))
     hits = vector_search.retrieve(chunks, questions, embedder)
     return hits.select("query_id", "rank", "chunk_id", _score("score"), F.md5("text").alias("text_md5"))
@@ -885,7 +885,7 @@ def retrieved_chunks(spark, folder):
 def retrieved_document_chunks(spark, folder):
     """Benchmark items as questions to every source of the documents."""
     embedder = em.hashed_embedder(DIM)
-    chunks = em.embed_documents(materialize(ingest.document_chunks(spark, folder)), embedder)
+    chunks = materialize(em.embed_documents(ingest.document_chunks(spark, folder), embedder))
     sources = _documents(spark, folder).select("source").distinct()
     items = tables.table(spark, folder, "benchmark")
     source = F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string"))
