@@ -12,18 +12,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from causeway.session import materialize
+
+ROW = "__row"
 WORD_GAP = r"[\x20\x09-\x0D]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``text`` alone; a null text is an empty one.
+def with_row_keys(docs: DataFrame) -> DataFrame:
+    """``docs`` and ``__row``, a key for each row, written once so that every read sees the same."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+    """``doc_id`` and ``text``, and the columns named in ``more``; a null text is an empty one.
 
     Other columns go at once, so that no name of theirs can clash with one made later.
     """
     bounded_batches(docs.sparkSession)
     return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more
     )
 
 
