@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from causeway.llm.common import WORD_GAP, ids_and_texts, partitions
+from causeway.llm.common import ROW, WORD_GAP, ids_and_texts, partitions, with_row_keys
 from causeway.session import materialize
 
 _SLOTS = 4
@@ -201,11 +201,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, all columns, without rows whose text an earlier row has.
 
-    As ``exact_groups``; texts are read twice, and shuffled once to meet the ids that stay.
+    As ``exact_groups``: one row stays for each text, of repeated rows (equal id and text, or
+    none with an id) any one. Rows are written once with a key of their own; texts are
+    shuffled once to meet the keys that stay.
     """
-    stay = exact_groups(docs, id_col, text_col).filter("kept").select(
-        F.col("doc_id").alias("__stay_id"), F.col("text_sha256").alias("__stay_digest")
-    )
-    digest = F.sha2(normalised(F.coalesce(F.col(text_col), F.lit(""))), 256)
-    same = docs[id_col].cast("long").eqNullSafe(stay["__stay_id"]) & (digest == stay["__stay_digest"])
-    return docs.join(stay, same, "left_semi")
+    docs = with_row_keys(docs)
+    digest = F.sha2(normalised(F.col("text")), 256).alias("digest")
+    rows = materialize(ids_and_texts(docs, id_col, text_col, ROW).select("doc_id", ROW, digest))
+    added = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    groups = materialize(apply_changes(added, partitions(docs)).filter("group_size > 1").select("digest", "keep_id"))
+    kept = rows.join(groups, "digest").filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    first = kept.groupBy("digest").agg(F.min(ROW).alias("first"))
+    stay = rows.join(first, "digest", "left").filter(F.coalesce("first", ROW) == F.col(ROW))
+    return docs.join(stay.select(ROW), ROW, "left_semi").drop(ROW)
