@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.common import ids_and_texts, partitions
+from causeway.llm.common import ROW, ids_and_texts, partitions, with_row_keys
 from causeway.llm.components import components
 from causeway.session import materialize
 
@@ -44,16 +44,21 @@ def fingerprint(text: str, words: int = 4) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint's 64 bits as a signed number, for every row."""
+def fingerprints(
+    docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text", *more: str
+) -> DataFrame:
+    """``doc_id`` and ``fp``, the fingerprint's 64 bits as a signed number, and the long columns
+    named in ``more``, for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
             found = np.fromiter((fingerprint(t.as_py(), words) for t in texts), dtype=np.uint64, count=len(texts))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            kept = [batch.column(c) for c in more]
+            yield pa.record_batch([batch.column("doc_id"), pa.array(found.view(np.int64)), *kept], ["doc_id", "fp", *more])
 
-    return ids_and_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    schema = ", ".join(f"{c} long" for c in ("doc_id", "fp", *more))
+    return ids_and_texts(docs, id_col, text_col, *more).mapInArrow(run, schema)
 
 
 def distances(a: np.ndarray, b) -> np.ndarray:
@@ -279,11 +284,17 @@ def near_groups(
 def drop_near_duplicates(
     docs: DataFrame, words: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``docs``, all columns, with the row of the smallest id of each component alone.
+    """``docs``, all columns, with one row of each component of ``near_groups``.
 
-    Of several rows with that id one stays for each distinct text.
+    The row with the smallest id stays; a row without an id stays only where no row of the
+    component has one, and of several rows with that id any one. Rows are written once with a
+    key of their own, and components are known by their smallest fingerprint.
     """
-    groups = near_groups(docs, words, bits, id_col, text_col)
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay_id"))
-    same = docs[id_col].cast("long").eqNullSafe(stay["__stay_id"])
-    return docs.join(stay.distinct(), same, "left_semi")
+    docs = with_row_keys(docs)
+    rows = materialize(fingerprints(docs, words, id_col, text_col, ROW))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first")
+    points = materialize(rows.groupBy("fp").agg(first))
+    roots = components(links_within(points.select("fp"), bits))
+    named = points.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    stay = named.groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("first"))
+    return docs.join(stay.select(F.col(f"first.{ROW}").alias(ROW)), ROW, "left_semi").drop(ROW)
