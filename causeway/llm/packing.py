@@ -17,6 +17,8 @@ SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 )
 _TASK_SPAN = 1 << 40  # sequence numbers of a task
+_HELD = 64 << 20  # bytes that open windows hold, at most
+_PIECE = 256  # bytes of a piece besides its ids, about
 
 
 class Packer:
@@ -27,7 +29,9 @@ class Packer:
     of the squared counts becomes least, a new window included; of equals, into the fullest.
     A window with less than one step left is closed and its gap remembered. ``finish`` fills
     the gaps with cuts of the documents in the emptiest open windows, and cuts what remains
-    into sequences whose lengths are powers of two, which need no padding.
+    into sequences whose lengths are powers of two, which need no padding. The same is done
+    with all open windows whenever they hold more than ``_HELD`` bytes, as where no two of very
+    many documents fit together.
     """
 
     def __init__(self, capacity: int = 2048, levels: int = 64, first: int = 0):
@@ -37,6 +41,7 @@ class Packer:
         self.open: list[list[list]] = [[] for _ in range(levels + 1)]
         self.gaps: list[tuple[int, int]] = []  # (sequence, fill) of closed windows
         self.next, self.out = first, []
+        self.held = 0  # bytes in open windows
 
     def _number(self) -> int:
         self.next += 1
@@ -70,14 +75,18 @@ class Packer:
         counts[best] -= best > 0
         window[0] += size
         window[1].append(piece)
+        self.held += piece[2].nbytes + _PIECE
         if self.capacity - window[0] < self.step:
             sequence = self._write(window)
+            self.held -= sum(p[2].nbytes + _PIECE for p in window[1])
             if window[0] < self.capacity:
                 self.gaps.append((sequence, window[0]))
         else:
             level = -(-window[0] // self.step)
             self.open[level].append(window)
             counts[level] += 1
+            if self.held > _HELD:
+                self.finish()
 
     def _write(self, window: list) -> int:
         sequence, offset = self._number(), 0
@@ -115,7 +124,8 @@ class Packer:
                 done, offset, free = done + n, offset + n, free - n
                 if not free:
                     sequence, offset, free = next(at, (0, 0, 0))
-        self.open, self.gaps = [[] for _ in range(self.levels + 1)], []
+        self.open, self.gaps, self.held = [[] for _ in range(self.levels + 1)], [], 0
+        self.counts[:] = 0
 
     def rows(self) -> list[tuple]:
         out, self.out = self.out, []
@@ -134,7 +144,7 @@ def pack(
     """One row for each piece of a document in a sequence of at most ``capacity`` tokens.
 
     Every task packs the rows of its partition in one pass as they come, without a shuffle;
-    it holds its open windows, at most a few for each level. Sequence numbers are unique
+    it holds its open windows, at most ``_HELD`` bytes of them. Sequence numbers are unique
     over all tasks. ``capacity`` must be a power of two.
 
     A null or empty text is a document of the end id alone. Null ids and repeated rows are
