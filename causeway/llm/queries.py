@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from causeway.llm import (
+    clustering,
     exact_dedup,
     fingerprints,
+    infilling,
+    language,
     licenses,
     packing,
     planes,
@@ -64,11 +67,24 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, folder), shards=40)
 
 
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return infilling.digests(infilling.fill_in_middle(_table(spark, folder), seed=1))
+
+
+def op12_pivot_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return clustering.cluster_vectors(_table(spark, folder, "embeddings"), k=16, rounds=3).drop("compared")
+
+
+def op13_language_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify_languages(_table(spark, folder))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_document_fingerprints, op2_exact_dedup, op3_bit_planes, op4_license_scan, op5_tree_bpe,
-        op6_simhash, op7_token_counts, op8_quality, op9_packing, op10_sharding,
+        op6_simhash, op7_token_counts, op8_quality, op9_packing, op10_sharding, op11_fill_in_middle,
+        op12_pivot_clusters, op13_language_codes,
     )
 }
 
@@ -84,10 +100,84 @@ WITH t AS (
     FROM t
 )
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AND copy = 1 AS kept, text_sha256 FROM n
+""",
+    "op11_fill_in_middle": r"""
+WITH t AS (
+    SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || doc_id) AS h,
+        regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u
+    FROM documents
+), d AS (
+    SELECT *, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS x,
+        CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS y,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+            WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM t
+), p AS (
+    SELECT doc_id, n, form, text, array_to_string(u[1:least(x, y)], '') AS a,
+        array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS b, array_to_string(u[greatest(x, y) + 1:], '') AS c
+    FROM d
+), o AS (
+    SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b
+        ELSE '<S>' || c || '<P>' || a || '<M>' || b END AS output
+    FROM p
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+    CASE WHEN form <> 'plain' THEN CAST(length(a) AS BIGINT) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN CAST(length(b) AS BIGINT) END AS middle_chars,
+    sha256(output) AS output_sha256,
+    sha256(CASE form WHEN 'plain' THEN output
+        WHEN 'psm' THEN regexp_replace(output, '^<P>(.*)<S>(.*)<M>(.*)$', '\1\3\2', 's')
+        ELSE regexp_replace(output, '^<S>(.*)<P>(.*)<M>(.*)$', '\2\3\1', 's') END) AS restored_sha256
+FROM o
 """,
 }
 
 
+def _clusters_sql(k: int = 16, rounds: int = 3, dim: int = 64, scale: int = 64) -> str:
+    """The rounds of the clustering one after another, each vector against every centroid."""
+    far = "sum((v.x - c.x) * (v.x - c.x))"
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS (
+    SELECT r, cluster, distance FROM (
+        SELECT v.r, c.cluster, {far} AS distance,
+            row_number() OVER (PARTITION BY v.r ORDER BY {far}, c.cluster) AS place
+        FROM v JOIN c{i} c USING (i) GROUP BY v.r, c.cluster
+    ) WHERE place = 1
+)""")
+        if i < rounds:
+            steps.append(f"""c{i + 1} AS (
+    SELECT c.cluster, c.i, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN (
+        SELECT cluster, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n, (s - ((s % n) + n) % n) // n AS x
+        FROM a{i} JOIN v USING (r) GROUP BY cluster, i
+    ) m USING (cluster, i)
+)""")
+    return f"""
+WITH k AS (
+    SELECT vec_id, row_number() OVER () AS r,
+        list_transform(embedding, lambda e: CAST(floor({scale} * CAST(e AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+), v AS MATERIALIZED (
+    SELECT r, unnest(v) AS x, unnest(range({dim})) AS i FROM k
+), s AS (
+    SELECT r, row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS cluster FROM k
+), c0 AS (
+    SELECT cluster, i, x FROM s JOIN v USING (r) WHERE cluster < {k}
+), {", ".join(steps)}, e AS (
+    SELECT cluster, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY cluster
+)
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance,
+    CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+    CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} JOIN k USING (r) JOIN e USING (cluster)
+"""
+
+
+ORACLES["op12_pivot_clusters"] = _clusters_sql()
+
+
 def _license_sql(least: float = 0.7) -> str:
     """The licence scan over whole word lists, without an index."""
     words = sorted({w for _, text, _ in licenses.TEMPLATES for w in text.split()} | {w for p in licenses.BASE for w in p.split()})
