@@ -6,6 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +51,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_kept: ContextVar[tuple[list[str], ...]] = ContextVar("tables written", default=())
+
+
+@contextmanager
+def tables_written() -> Iterator[list[str]]:
+    """The paths of what ``materialize`` writes inside, so that it can be let go."""
+    tables: list[str] = []
+    token = _kept.set((*_kept.get(), tables))
+    try:
+        yield tables
+    finally:
+        _kept.reset(token)
+
+
+def let_go(spark: SparkSession, tables: list[str]) -> None:
+    """Delete tables that ``materialize`` wrote and that nothing will read again."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for name in tables:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of it.
 
@@ -57,4 +82,6 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/causeway-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for tables in _kept.get():
+        tables.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
