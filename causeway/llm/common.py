@@ -5,23 +5,99 @@ from __future__ import annotations
 import re
 import sys
 import types
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from causeway.session import materialize
 
-ROW = "__row"
 WORD_GAP = r"[\x20\x09-\x0D]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def with_row_keys(docs: DataFrame) -> DataFrame:
-    """``docs`` and ``__row``, a key for each row, written once so that every read sees the same."""
-    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()))
+MOST_MARKS = 500_000  # words of 64 marked rows that are broadcast at most, about 32 MB
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if ``df`` has it; Spark's names do not tell cases apart."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+@dataclass
+class KeyedRows:
+    """Rows that are known by where they lie: the digest of their file's path, and their place in it.
+
+    ``df`` has two more columns for these, under names that clash with no other.
+    """
+
+    df: DataFrame
+    file: str
+    at: str
+
+    def keys(self) -> list[Column]:
+        return [F.col(self.file).alias("file"), F.col(self.at).alias("at")]
+
+    def without(self, gone: DataFrame) -> DataFrame:
+        """The rows, in their own columns, but for those of ``gone(file, at)``.
+
+        Rows stay where they are: the keys become bits, 64 rows a word, which are broadcast as
+        long as there are at most ``MOST_MARKS`` words; beyond that rows are shuffled.
+        """
+        return self._met(gone, "left_anti").drop(self.file, self.at)
+
+    def only(self, wanted: DataFrame) -> DataFrame:
+        """The rows of ``wanted(file, at)``, with their keys; moved no more than by ``without``."""
+        return self._met(wanted, "left_semi")
+
+    def _met(self, keys: DataFrame, how: str) -> DataFrame:
+        def bit(at: Column) -> Column:
+            return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
+
+        marks = materialize(
+            keys.groupBy("file", F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit(F.col("at"))).alias("bits"))
+        )
+        own, at = F.broadcast(marks) if marks.count() <= MOST_MARKS else marks, self.df[self.at]
+        here = (self.df[self.file] == marks["file"]) & (F.shiftright(at, 6) == marks["word"])
+        return self.df.join(own, here & (marks["bits"].bitwiseAND(bit(at)) != 0), how)
+
+
+def keyed_rows(docs: DataFrame) -> KeyedRows:
+    """``docs`` with its rows' keys.
+
+    Rows that come straight from files, at most filtered and projected, are read where they
+    lie. Others, of which one may stand for several or which another read may see otherwise,
+    are written first.
+    """
+    if not _scanned(docs):
+        docs = materialize(docs)
+    file, at = free_name(docs, "row_file"), free_name(docs, "row_at")
+    place = docs.metadataColumn("_metadata")
+    path, index = F.xxhash64(place["file_path"]).alias(file), place["row_index"].alias(at)
+    return KeyedRows(docs.select("*", path, index), file, at)
+
+
+def _scanned(docs: DataFrame) -> bool:
+    """Whether each row of ``docs`` is one row of a Parquet file, the same in every read."""
+    plan = docs._jdf.queryExecution().analyzed() if hasattr(docs, "_jdf") else None
+    if plan is None or not plan.deterministic():
+        return False
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.nodeName() != "LogicalRelation":
+        return False
+    try:
+        docs.select(docs.metadataColumn("_metadata")["row_index"])
+    except AnalysisException:
+        return False
+    return True
 
 
 def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:

@@ -17,7 +17,7 @@ SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 )
 _TASK_SPAN = 1 << 40  # sequence numbers of a task
-_HELD = 64 << 20  # bytes that open windows hold, at most
+HELD = 64 << 20  # bytes that open windows hold, at most
 _PIECE = 256  # bytes of a piece besides its ids, about
 
 
@@ -30,12 +30,12 @@ class Packer:
     A window with less than one step left is closed and its gap remembered. ``finish`` fills
     the gaps with cuts of the documents in the emptiest open windows, and cuts what remains
     into sequences whose lengths are powers of two, which need no padding. The same is done
-    with all open windows whenever they hold more than ``_HELD`` bytes, as where no two of very
-    many documents fit together.
+    with all open windows whenever they hold more than ``held_bytes``, as where no two of
+    very many documents fit together.
     """
 
-    def __init__(self, capacity: int = 2048, levels: int = 64, first: int = 0):
-        self.capacity, self.levels = capacity, levels
+    def __init__(self, capacity: int = 2048, levels: int = 64, first: int = 0, held_bytes: int = HELD):
+        self.capacity, self.levels, self.held_bytes = capacity, levels, held_bytes
         self.step = -(-capacity // levels)
         self.counts = np.zeros(levels + 1, dtype=np.int64)
         self.open: list[list[list]] = [[] for _ in range(levels + 1)]
@@ -85,7 +85,7 @@ class Packer:
             level = -(-window[0] // self.step)
             self.open[level].append(window)
             counts[level] += 1
-            if self.held > _HELD:
+            if self.held > self.held_bytes:
                 self.finish()
 
     def _write(self, window: list) -> int:
@@ -138,14 +138,16 @@ def pack(
     capacity: int = 2048,
     end_id: int = 1,
     levels: int = 64,
+    held_bytes: int = HELD,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """One row for each piece of a document in a sequence of at most ``capacity`` tokens.
 
     Every task packs the rows of its partition in one pass as they come, without a shuffle;
-    it holds its open windows, at most ``_HELD`` bytes of them. Sequence numbers are unique
-    over all tasks. ``capacity`` must be a power of two.
+    it holds its open windows, at most ``held_bytes`` of them: beyond that all open windows are
+    finished, the emptiest cut to fill the others, which loses nothing and pads no more, as what
+    remains falls into sequences without padding. Sequence numbers are unique over all tasks. ``capacity`` must be a power of two.
 
     A null or empty text is a document of the end id alone. Null ids and repeated rows are
     packed like any others, row by row. An empty table gives no rows.
@@ -155,7 +157,7 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, codec = None, encoder(tokenizer)
-        packer = Packer(capacity, levels, TaskContext.get().partitionId() * _TASK_SPAN)
+        packer = Packer(capacity, levels, TaskContext.get().partitionId() * _TASK_SPAN, held_bytes)
         for part in portions(batches):
             ids, bounds = codec.encode(strings(part.column("text")))
             for i, doc in enumerate(part.column("doc_id").to_pylist()):

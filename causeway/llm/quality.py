@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.common import ids_and_texts
+from causeway.llm.common import ids_and_texts, keyed_rows
 from causeway.session import materialize
 
 FEATURES = [
@@ -66,17 +66,20 @@ def statistics(text: str) -> list[float]:
     ]
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``x``, the transformed statistics of every row's whole text."""
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+    """``doc_id`` and ``x``, the transformed statistics of every row's whole text, and the long
+    columns named in ``more``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [statistics(t.as_py()) for t in batch.column("text")]
+            kept = [batch.column(c) for c in more]
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(found, type=pa.list_(pa.float64()))], ["doc_id", "x"]
+                [batch.column("doc_id"), pa.array(found, type=pa.list_(pa.float64())), *kept], ["doc_id", "x", *more]
             )
 
-    return ids_and_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, x array<double>")
+    schema = "doc_id long, x array<double>" + "".join(f", {c} long" for c in more)
+    return ids_and_texts(docs, id_col, text_col, *more).mapInArrow(run, schema)
 
 
 @dataclass
@@ -112,8 +115,11 @@ def fit(
     Counts, sums and products of each class are added up by Spark over all such rows; the
     driver gets one row for each class. A class covariance is drawn towards the pooled one
     by the share ``pooled`` and towards a multiple of the identity by ``ridge``, after the
-    statistics are scaled to unit variance. Rows without a label of 0 or 1 do not count.
-    With one class alone every score is that class; with none every score is 0.5.
+    statistics are scaled to unit variance; that multiple is the mean variance, 0.01 at least,
+    so that classes of one row or of equal rows have a density, too. Rows without a label of 0
+    or 1 do not count. With one class alone every score is that class; with none every score
+    is 0.5; where all labelled rows of both classes are alike, scores of such rows are the
+    share of class 1.
     """
     d = len(FEATURES)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
@@ -137,7 +143,7 @@ def fit(
     whiten, constant = [], []
     for k in (0, 1):
         own = (1 - pooled) * spread[k] / np.outer(scale, scale) + pooled * together
-        own = (1 - ridge) * own + ridge * np.trace(own) / d * np.eye(d)
+        own = (1 - ridge) * own + ridge * max(np.trace(own) / d, 0.01) * np.eye(d)
         factor = np.linalg.cholesky(own)
         whiten.append(np.linalg.inv(factor) / scale[None, :])
         constant.append(math.log(n[k] / n.sum()) - np.log(np.diag(factor)).sum())
@@ -177,11 +183,16 @@ def score_quality(
 def keep_good(
     docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``docs``, all columns, without the rows that are predicted 0; no row moves."""
-    model = fit(materialize(features(docs, id_col, text_col)), labels)
+    """``docs``, all columns, without the rows that are predicted 0.
 
-    def good(texts: pd.Series) -> pd.Series:
-        x = np.array([statistics(t or "") for t in texts]).reshape(-1, len(FEATURES))
-        return pd.Series(model.scores(x) >= threshold)
+    Statistics are worked out once, for the fit and for the scores. Rows that go are marked
+    and left out where the rest is read; no text moves.
+    """
+    docs = keyed_rows(docs)
+    found = materialize(features(docs.df, id_col, text_col, docs.file, docs.at))
+    model = fit(found, labels)
+
+    def poor(x: pd.Series) -> pd.Series:
+        return pd.Series(model.scores(np.array(x.tolist()).reshape(-1, len(FEATURES))) < threshold)
 
-    return docs.filter(F.pandas_udf(good, "boolean")(F.col(text_col)))
+    return docs.without(found.filter(F.pandas_udf(poor, "boolean")(F.col("x"))).select(*docs.keys()))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.common import ROW, ids_and_texts, partitions, with_row_keys
+from causeway.llm.common import ids_and_texts, keyed_rows, partitions
 from causeway.llm.components import components
 from causeway.session import materialize
 
@@ -287,14 +287,15 @@ def drop_near_duplicates(
     """``docs``, all columns, with one row of each component of ``near_groups``.
 
     The row with the smallest id stays; a row without an id stays only where no row of the
-    component has one, and of several rows with that id any one. Rows are written once with a
-    key of their own, and components are known by their smallest fingerprint.
+    component has one, and of several rows with that id the one that lies first. Components
+    are known by their smallest fingerprint.
     """
-    docs = with_row_keys(docs)
-    rows = materialize(fingerprints(docs, words, id_col, text_col, ROW))
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first")
+    docs = keyed_rows(docs)
+    found = fingerprints(docs.df, words, id_col, text_col, docs.file, docs.at)
+    rows = materialize(found.select("doc_id", "fp", *docs.keys()))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "file", "at")).alias("first")
     points = materialize(rows.groupBy("fp").agg(first))
     roots = components(links_within(points.select("fp"), bits))
     named = points.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     stay = named.groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("first"))
-    return docs.join(stay.select(F.col(f"first.{ROW}").alias(ROW)), ROW, "left_semi").drop(ROW)
+    return docs.without(rows.join(stay.select("first.file", "first.at"), ["file", "at"], "left_anti").select("file", "at"))

@@ -14,7 +14,7 @@ def spark():
 def documents(spark, rows):
     """A table of documents with columns whose names the operators use inside."""
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for name in ("bucket", "fp", "n", "group", "size", "head", "shard", "text_sha256", "x", "words", "hits", "n_chars"):
+    for name in ("bucket", "fp", "n", "group", "size", "head", "shard", "text_sha256", "x", "words", "hits", "n_chars", "__row", "row_file", "file", "at"):
         docs = docs.withColumn(name, F.lit("clash"))
     return docs
 
