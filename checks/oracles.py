@@ -891,6 +891,12 @@ oracle("vector_search_centroids", """
     FROM (SELECT c.investigation_id AS query_id, v.chunk_id, v.vec_id,
                  list_cosine_similarity(c.mean, v.embedding) AS score
           FROM centroids c JOIN vectors v USING (investigation_id))) WHERE rank <= 8""")
+oracle("indexed_vector_search_exact", """
+  SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM (
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS INTEGER) AS rank
+    FROM (SELECT CAST(q.vec_id AS VARCHAR) AS query_id, CAST(v.vec_id AS VARCHAR) AS chunk_id, v.vec_id,
+                 list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score
+          FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0)) WHERE rank <= 8""")
 oracle("cosine_to_centroid", """
   SELECT chunk_id, round(list_cosine_similarity(embedding, mean), 6) AS score
   FROM vectors JOIN centroids USING (investigation_id)""")

@@ -18,7 +18,7 @@ from causeway.functions import scores as sc
 from causeway.functions import text as tx
 from causeway.operators import (
     centrality, chunking, extraction, graph, prompts, reasoning, registry, retrieval,
-    traversal, vector_search,
+    traversal, vector_index, vector_search,
 )
 from causeway.plans import ingest, investigate
 from causeway.session import materialize, shared_folder
@@ -835,6 +835,37 @@ def cosine_to_centroid(spark, folder):
     )
 
 
+def _indexed(spark: SparkSession, folder: str, **search) -> DataFrame:
+    """Every vector in an index, written in two parts; every fiftieth asks for its nearest."""
+    vectors = tables.table(spark, folder, "embeddings", "vec_id").select(
+        F.lit("all").alias("investigation_id"),
+        F.col("vec_id").cast("string").alias("chunk_id"),
+        F.lit(0).cast("bigint").alias("doc_seq"),
+        F.col("vec_id").alias("chunk_index"),
+        F.col("embedding").cast("array<double>").alias("embedding"),
+    )
+    path = f"{shared_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    vector_index.write_index(vectors.filter("chunk_index % 10 <> 3"), path)
+    vector_index.write_index(vectors, path)
+    asked = vectors.filter("chunk_index % 50 = 0")
+    questions = asked.select(F.col("chunk_id").alias("query_id"), "investigation_id", "embedding")
+    return vector_index.search_index(spark, path, questions, **search).select(
+        "query_id", "rank", "chunk_id", _score("score")
+    )
+
+
+@query
+def indexed_vector_search(spark, folder):
+    """The nearest by the lists that a question probes; recall is measured in the tests."""
+    return _indexed(spark, folder)
+
+
+@query
+def indexed_vector_search_exact(spark, folder):
+    """The same, with every list that may hold a nearer vector."""
+    return _indexed(spark, folder, probes=4, exact=True)
+
+
 @query
 def hashed_embeddings(spark, folder):
     """Non-zero components of the hashed embedding of each incident chunk."""

@@ -23,7 +23,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables a
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) - set(ORACLES) == {"indexed_vector_search"}  # its recall is measured in test_vector_index
 
 
 @pytest.mark.parametrize("name", FAST + REST)
