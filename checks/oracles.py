@@ -849,6 +849,22 @@ oracle("pagerank_converged", f"""
   SELECT n.investigation_id, n.name, 0, 0 FROM nodes n JOIN sizes z USING (investigation_id) WHERE z.edges = 0""")
 for _name in ("fixed_rounds", "converged"):
     ORACLES[f"pagerank_{_name}_of_large_graphs"] = ORACLES[f"pagerank_{_name}"]
+oracle("pagerank_after_ingests", """
+  SELECT * FROM (WITH RECURSIVE degrees AS (
+    SELECT investigation_id, target, count(*) AS n FROM (SELECT DISTINCT investigation_id, source, target FROM edges) GROUP BY ALL
+  ), links AS MATERIALIZED (
+    SELECT e.investigation_id, e.source, e.target, 0.85 / n AS share
+    FROM (SELECT DISTINCT investigation_id, source, target FROM edges) e JOIN degrees USING (investigation_id, target)
+  ), names AS MATERIALIZED (SELECT investigation_id, name FROM nodes), walk AS (
+    SELECT investigation_id, name, 1.0::DOUBLE AS mass, 0 AS t FROM names
+    UNION ALL
+    SELECT l.investigation_id, l.source, sum(w.mass * l.share), any_value(t) + 1
+    FROM walk w JOIN links l ON l.investigation_id = w.investigation_id AND l.target = w.name
+    WHERE t < 140 GROUP BY l.investigation_id, l.source
+  ), weights AS (SELECT investigation_id, name, sum(mass) AS w FROM walk GROUP BY ALL)
+  SELECT investigation_id, name,
+         round(CASE WHEN z.edges > 0 THEN w / sum(w) OVER (PARTITION BY investigation_id) ELSE 0 END, 7) AS score
+  FROM weights JOIN sizes z USING (investigation_id))""")
 oracle("central_nodes", "SELECT investigation_id, rank, name, round(score, 9) AS score FROM ranks")
 oracle("upstream_causes", "SELECT investigation_id, start, node, CAST(hop AS INTEGER) AS hop FROM found_3")
 oracle("upstream_causes_causal_only", """

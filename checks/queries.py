@@ -17,7 +17,7 @@ from causeway.functions import responses as rs
 from causeway.functions import scores as sc
 from causeway.functions import text as tx
 from causeway.operators import (
-    centrality, chunking, extraction, graph, prompts, reasoning, registry, retrieval,
+    centrality, chunking, extraction, graph, prompts, rank_updates, reasoning, registry, retrieval,
     traversal, vector_index, vector_search,
 )
 from causeway.plans import ingest, investigate
@@ -730,6 +730,19 @@ def pagerank_with_stray_edges(spark, folder):
     return centrality.pagerank(k.nodes, edges, ROUNDS).select("investigation_id", "name", _score("score", 9))
 
 
+@query
+def pagerank_after_ingests(spark, folder):
+    """Ranks of a graph that grew in two ingests, the second of some investigations only."""
+    chunks = materialize(ingest.incident_chunks(spark, folder))
+    path = f"{shared_folder(spark).rstrip('/')}/ranks-{uuid.uuid4().hex}"
+    late = F.col("investigation_id").isin([f"inv-{i}" for i in range(0, 16, 3)])
+    first = ingest.build_knowledge(chunks.filter(~late | (F.col("doc_seq") % 2 == 0)), rank=False)
+    rank_updates.update_ranks(first.nodes, first.edges, path)
+    second = ingest.build_knowledge(chunks.filter(late), rank=False)
+    rank_updates.update_ranks(second.nodes, second.edges, path)
+    return rank_updates.read_ranks(spark, path).select("investigation_id", "name", _score("score", 7))
+
+
 @query
 def central_nodes(spark, folder):
     return _knowledge(spark, folder).ranks.select("investigation_id", "rank", "name", _score("score", 9))
