@@ -1094,3 +1094,6 @@ oracle("replayed_stream_graph", """
   LEFT JOIN (SELECT investigation_id, count(DISTINCT (a, b)) AS edges FROM (
                SELECT investigation_id, name AS a, lead(name) OVER (PARTITION BY chunk_id ORDER BY ord) AS b
                FROM doc_hits_each) WHERE b IS NOT NULL GROUP BY 1) e USING (investigation_id)""")
+oracle("live_graph_nodes", """
+  SELECT investigation_id, name, arg_max(chunk_id, [doc_seq, chunk_index, ord]) AS source_chunk_id, min(doc_seq) AS first_document
+  FROM doc_hits_each GROUP BY 1, 2""")

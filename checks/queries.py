@@ -23,7 +23,7 @@ from causeway.operators import (
 from causeway.plans import ingest, investigate
 from causeway.session import materialize, shared_folder
 from causeway.sources import files, incident_log as il, tables
-from causeway.streaming import ingest as streaming
+from causeway.streaming import ingest as streaming, live_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1529,3 +1529,26 @@ def replayed_stream_graph(spark, folder):
         extraction.entity_mentions(extracted), extraction.relation_mentions(extracted)
     )
     return graph.graph_size(nodes, edges)
+
+
+@query
+def live_graph_nodes(spark, folder):
+    """The graph kept up in a stream that brings older versions, then everything twice."""
+    root = f"{shared_folder(spark).rstrip('/')}/live-{uuid.uuid4().hex}"
+    documents = spark.read.parquet(f"{folder}/documents.parquet").select(
+        F.col("source").alias("investigation_id"),
+        F.col("doc_id").cast("string").alias("document_id"),
+        F.col("doc_id").alias("doc_seq"),
+        "text",
+    )
+    older = documents.filter("doc_seq % 3 = 0").withColumns(
+        {"doc_seq": F.col("doc_seq") - 1_000_000, "text": F.concat(F.lit("redis timeout kafka "), "text")}
+    )
+    for sent in (older, documents, documents):
+        sent.write.mode("append").parquet(f"{root}/arriving")
+        arriving = streaming.read_documents(spark, f"{root}/arriving")
+        live_graph.start_versions(arriving, f"{root}/chunks", f"{root}/versions", once=True).awaitTermination()
+        chunks = spark.readStream.schema(spark.read.parquet(f"{root}/chunks").schema).parquet(f"{root}/chunks")
+        live_graph.start_graph(chunks, f"{root}/graph", f"{root}/merges", once=True).awaitTermination()
+    nodes, _ = live_graph.read_live_graph(spark, f"{root}/graph")
+    return nodes.select("investigation_id", "name", "source_chunk_id", F.col("node_seq.doc_seq").alias("first_document"))
