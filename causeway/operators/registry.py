@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from causeway.functions import text as tx
+from causeway.operators.vector_search import scope
 
 
 def create_investigations(requests: DataFrame) -> DataFrame:
@@ -66,9 +67,13 @@ def overview(listed: DataFrame) -> DataFrame:
 
 
 def readiness(requests: DataFrame, investigations: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Whether each request can run: unknown investigation, nothing ingested, or ready."""
-    known = investigations.select("investigation_id", F.lit(True).alias("known")).distinct()
-    filled = chunks.select("investigation_id", F.lit(True).alias("filled")).distinct()
+    """Whether each request can run: unknown investigation, nothing ingested, or ready.
+
+    Only what the requests name is looked for among investigations and chunks.
+    """
+    near = scope(requests)
+    known = near(investigations).select("investigation_id", F.lit(True).alias("known")).distinct()
+    filled = near(chunks).select("investigation_id", F.lit(True).alias("filled")).distinct()
     return (
         requests.join(known, "investigation_id", "left")
         .join(filled, "investigation_id", "left")

@@ -92,8 +92,11 @@ def graph_context(
 ) -> GraphContext:
     """Entities, relations and causes for ``questions(query_id, investigation_id, text)``.
 
-    Causes are walked once per distinct entity, not once per question.
+    Causes are walked once per distinct entity, not once per question. Of the graph, only what
+    belongs to the investigations asked about is read.
     """
+    near = vector_search.scope(questions)
+    nodes, edges, ranked = near(nodes), near(edges), near(ranked)
     entities = materialize(matched_entities(asked(questions), nodes, ranked))
     starts = entities.select("investigation_id", F.col("name").alias("start")).distinct()
     return GraphContext(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -137,17 +137,23 @@ def _search_many(
     )
 
 
-def in_scope(chunks: DataFrame, questions: DataFrame) -> DataFrame:
-    """Chunks of the investigations that are asked about, and no others.
+def scope(questions: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A filter for tables with ``investigation_id``: the investigations that are asked about.
 
-    A few thousand names become a filter that reaches the scan, where it picks folders;
-    more are met by a semi-join. An embedder behind this sees only what is asked for.
+    A few thousand names become a filter that reaches the scan, where it picks folders; more
+    are met by a semi-join. What comes behind sees only what is asked for. The names are
+    looked up once, however many tables are filtered.
     """
     asked = questions.select("investigation_id").distinct()
     names = [r.investigation_id for r in asked.limit(_ANY + 1).collect()]
     if len(names) > _ANY:
-        return chunks.join(asked, "investigation_id", "left_semi")
-    return chunks.filter(F.col("investigation_id").isin([n for n in names if n is not None]))
+        return lambda table: table.join(asked, "investigation_id", "left_semi")
+    return lambda table: table.filter(F.col("investigation_id").isin([n for n in names if n is not None]))
+
+
+def in_scope(chunks: DataFrame, questions: DataFrame) -> DataFrame:
+    """Chunks of the investigations that are asked about, and no others."""
+    return scope(questions)(chunks)
 
 
 def search(

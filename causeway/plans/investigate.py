@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from causeway import schemas
 from causeway.functions.embedding import Embedder
-from causeway.operators import prompts, reasoning, registry, retrieval
+from causeway.operators import prompts, reasoning, registry, retrieval, vector_search
 from causeway.operators.prompts import Model
 from causeway.plans.ingest import Knowledge
 from causeway.session import materialize
@@ -54,6 +54,12 @@ class _Answers:
         return given.select("key", "response")
 
 
+def _asked_about(knowledge: Knowledge, questions: DataFrame) -> Knowledge:
+    """The knowledge of the investigations asked about; of a store only their folders are read."""
+    near = vector_search.scope(questions)
+    return Knowledge(*[None if table is None else near(table) for table in knowledge])
+
+
 def investigate(
     knowledge: Knowledge,
     questions: DataFrame,
@@ -78,6 +84,7 @@ def investigate(
     """
     _usable(knowledge)
     source = _Answers(responses, model, tries)
+    knowledge = _asked_about(knowledge, questions)
     chunks = knowledge.chunks
     known = chunks.select("investigation_id") if investigations is None else investigations
     checked = materialize(registry.readiness(retrieval.asked(questions), known, chunks))
@@ -134,6 +141,7 @@ def chat(
     gets the last messages of ``history`` if ``messages`` have a ``conv_id``.
     """
     _usable(knowledge)
+    knowledge = _asked_about(knowledge, messages)
     found = retrieval.hybrid(
         messages, knowledge.chunks, knowledge.nodes, knowledge.edges, knowledge.ranks, embedder, tie_break=tie_break
     )
