@@ -1097,3 +1097,7 @@ oracle("replayed_stream_graph", """
 oracle("live_graph_nodes", """
   SELECT investigation_id, name, arg_max(chunk_id, [doc_seq, chunk_index, ord]) AS source_chunk_id, min(doc_seq) AS first_document
   FROM doc_hits_each GROUP BY 1, 2""")
+oracle("dictionary_table_matches", """
+  SELECT doc_id, count(*) AS matches, md5(string_agg(word, ',' ORDER BY word)) AS words_md5
+  FROM documents, (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM benchmark)
+  WHERE length(word) >= 6 AND contains(lower(text), word) GROUP BY doc_id""")

@@ -17,7 +17,7 @@ from causeway.functions import responses as rs
 from causeway.functions import scores as sc
 from causeway.functions import text as tx
 from causeway.operators import (
-    centrality, chunking, extraction, graph, prompts, rank_updates, reasoning, registry, retrieval,
+    centrality, chunking, dictionary, extraction, graph, prompts, rank_updates, reasoning, registry, retrieval,
     traversal, vector_index, vector_search,
 )
 from causeway.plans import ingest, investigate
@@ -1487,6 +1487,22 @@ def ingest_summary(spark, folder):
     )
 
 
+# --- Dictionaries given as tables ------------------------------------------------------
+
+
+@query
+def dictionary_table_matches(spark, folder):
+    """Words of the benchmark as a dictionary, its automaton in several parts, in all documents."""
+    words = tables.table(spark, folder, "benchmark").select(
+        F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")
+    )
+    texts = _documents(spark, folder).select("doc_id", "text")
+    found = dictionary.dictionary_matches(texts, words.filter(F.length("word") >= 6), most_bytes=1 << 18)
+    return found.groupBy("doc_id").agg(
+        F.count("*").alias("matches"), F.md5(F.array_join(F.array_sort(F.collect_list("word")), ",")).alias("words_md5")
+    )
+
+
 # --- Streaming -------------------------------------------------------------------------
 
 
