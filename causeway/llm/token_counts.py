@@ -33,7 +33,7 @@ def frequent_units(docs: DataFrame, tokenizer: str, most: int = 32_768) -> list[
     """The units that occur most, about, over all texts: at most ``most`` of 64 bytes.
 
     Every task keeps the ``most`` heaviest of its own and hands on one row; 64 tasks merge
-    those, and the driver reads their 64 tables one after another. No unit is ever a shuffle key, and what
+    those, one task their tables, and the driver reads its one. No unit is ever a shuffle key, and what
     moves is bounded by ``most`` for each task. The table changes speed only, never a count.
     """
 
@@ -60,11 +60,8 @@ def frequent_units(docs: DataFrame, tokenizer: str, most: int = 32_768) -> list[
         yield _table(counts, most)
 
     tables = docs.mapInArrow(own, _TABLE).repartition(64).mapInArrow(merged, _TABLE)
-    counts = Counter()
-    for row in tables.toLocalIterator():
-        counts.update(dict(zip(row.units, row.counts)))
-        if len(counts) > 4 * most:
-            counts = Counter(dict(counts.most_common(most)))
+    row = tables.repartition(1).mapInArrow(merged, _TABLE).first()
+    counts = Counter(dict(zip(row.units, row.counts))) if row else Counter()
     return [u for u, _ in counts.most_common(most)]
 
 
