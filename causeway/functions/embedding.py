@@ -32,13 +32,11 @@ def hashed_embedder(dim: int = fv.EMBEDDING_DIM) -> Embedder:
         return _let(F.sort_array(F.transform(words, bucket)), vector)
 
     def vector(hits: Column) -> Column:
-        def placed(used: Column) -> Column:
-            return _let(F.transform(used, lambda b: F.array_position(hits, b).cast("int")), lambda at: scaled(used, at))
+        def placed(at: Column) -> Column:
+            return _let(F.transform(at, lambda i: F.get(hits, i)), lambda used: scaled(used, at))
 
         def scaled(used: Column, at: Column) -> Column:
-            counts = F.transform(
-                at, lambda p, i: (F.coalesce(F.get(at, i + 1), F.size(hits) + 1) - p).cast("double")
-            )
+            counts = F.transform(at, lambda p, i: (F.coalesce(F.get(at, i + 1), F.size(hits)) - p).cast("double"))
             return _let(counts, lambda n: joined(used, n, F.sqrt(F.aggregate(n, F.lit(0.0), lambda s, c: s + c * c))))
 
         def joined(used: Column, counts: Column, length: Column) -> Column:
@@ -52,7 +50,8 @@ def hashed_embedder(dim: int = fv.EMBEDDING_DIM) -> Embedder:
             last = F.coalesce(F.get(used, F.size(used) - 1), F.lit(-1))
             return F.concat(F.flatten(parts), F.array_repeat(F.lit(0.0), F.lit(dim - 1) - last))
 
-        return _let(F.array_distinct(hits), placed)
+        begins = F.transform(hits, lambda h, i: F.when((i == 0) | (h != F.get(hits, i - 1)), i))
+        return _let(F.filter(begins, lambda i: i.isNotNull()), placed)  # where each run of a bucket begins
 
     return embed
 
