@@ -919,7 +919,8 @@ def model_embeddings(spark, folder):
 @query
 def retrieved_chunks(spark, folder):
     embedder = em.hashed_embedder(DIM)
-    chunks = materialize(em.embed_documents(ingest.incident_chunks(spark, folder), embedder))
+    chunks = tables.spread(materialize(ingest.incident_chunks(spark, folder)), "chunk_id")
+    chunks = materialize(em.embed_documents(chunks, embedder))
     questions = retrieval.asked(il.incident_questions(spark, folder))
     hits = vector_search.retrieve(chunks, questions, embedder)
     return hits.select("query_id", "rank", "chunk_id", _score("score"), F.md5("text").alias("text_md5"))
