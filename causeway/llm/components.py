@@ -28,7 +28,7 @@ def components(links: DataFrame) -> DataFrame:
         large = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = large.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"), F.count("*").alias("degree"))
         stars = _told(large.filter("b > a"), least, "a", hub, now[0])
-        stars = _ordered(stars.select(F.col("least").alias("a"), "b"))
+        stars = materialize(_ordered(stars.select(F.col("least").alias("a"), "b")))
         smaller = stars.groupBy("b").agg(F.min("a").alias("least"), F.count("*").alias("degree"))
         links = materialize(
             _ordered(
@@ -49,7 +49,11 @@ def _told(links: DataFrame, least: DataFrame, key: str, hub: int, total: int) ->
     """``links`` with the ``least`` of their node ``key``; what hubs have is broadcast."""
     if total <= hub:  # no node has so many links
         return links.join(least.drop("degree"), key)
-    hubs = F.broadcast(least.filter(F.col("degree") > hub).drop("degree"))
+    least = materialize(least)
+    hubs = least.filter(F.col("degree") > hub).drop("degree")
+    if hubs.isEmpty():
+        return links.join(least.drop("degree"), key)
+    hubs = F.broadcast(hubs)
     others = links.join(hubs.select(key), key, "left_anti").join(least.filter(F.col("degree") <= hub).drop("degree"), key)
     return links.join(hubs, key).unionByName(others)
 
