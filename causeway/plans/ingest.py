@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from causeway.functions.embedding import Embedder, embed_documents
 from causeway.operators import centrality, chunking, extraction, graph
+from causeway.operators.content_vectors import embed_by_content
 from causeway.session import materialize
 from causeway.sources import files, incident_log, tables
 
@@ -57,16 +58,19 @@ def build_knowledge(
     rounds: int | None = None,
     tie_break: str = "insertion",
     rank: bool = True,
+    vectors: str | None = None,
 ) -> Knowledge:
     """Extract, embed and rank once, and merge the finds into one graph per investigation.
 
     Everything is a written table, so investigations and chats only read: chunks with
     their vectors (of ``embedder``, if given), and the rank of every node, converged
     unless ``rounds`` is given. Without ``rank`` there are no ranks, for uses of the graph
-    alone.
+    alone. With ``vectors``, a store of vectors by text, only texts new to it are embedded.
     """
     found = extraction.extraction(chunks, responses)
-    if embedder is not None:
+    if embedder is not None and vectors is not None:
+        found = embed_by_content(found, embedder, vectors)
+    elif embedder is not None:
         found = embed_documents(found, embedder)
     extracted = materialize(found)
     entities = extraction.entity_mentions(extracted)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from causeway import schemas
 from causeway.functions.embedding import Embedder
 from causeway.operators import prompts, reasoning, registry, retrieval, vector_search
+from causeway.operators.answer_log import infer_logged
 from causeway.operators.prompts import Model
 from causeway.plans.ingest import Knowledge
 from causeway.session import materialize
@@ -39,8 +40,9 @@ def _usable(knowledge: Knowledge) -> None:
 class _Answers:
     """Where a stage's answers come from: recorded ones, a model, or nowhere."""
 
-    def __init__(self, recorded: dict[str, DataFrame] | None, model: Model | None, tries: int):
-        self.recorded, self.model, self.tries, self.errors = recorded or {}, model, tries, []
+    def __init__(self, recorded: dict[str, DataFrame] | None, model: Model | None, tries: int, log: str | None):
+        self.recorded, self.model, self.tries, self.log = recorded or {}, model, tries, log
+        self.errors: list[DataFrame] = []
 
     def of(self, stage: str, asked) -> DataFrame | None:
         """``key, response`` of a stage; ``asked`` makes its prompts, for a model only."""
@@ -48,7 +50,12 @@ class _Answers:
             return self.recorded[stage]
         if self.model is None:
             return None
-        given = materialize(prompts.infer(asked(), self.model, self.tries, system=prompts.SYSTEM[stage]))
+        if self.log is None:
+            given = materialize(prompts.infer(asked(), self.model, self.tries, system=prompts.SYSTEM[stage]))
+        else:
+            wanted = materialize(asked())
+            given = infer_logged(wanted, self.model, self.log, self.tries, system=prompts.SYSTEM[stage])
+            given = materialize(given)
         failed = given.filter(F.col("error").isNotNull())
         self.errors.append(failed.select(F.col("key").alias("query_id"), F.lit(stage).alias("stage"), "error"))
         return given.select("key", "response")
@@ -70,6 +77,7 @@ def investigate(
     investigations: DataFrame | None = None,
     tie_break: str = "insertion",
     tries: int = 3,
+    log: str | None = None,
 ) -> Investigation:
     """Retrieve, find the root cause, order the events and write the report.
 
@@ -80,10 +88,11 @@ def investigate(
     Answers of a model may be recorded in ``responses`` under ``root_cause``, ``timeline``
     and ``report``, or come from ``model``, which is asked stage by stage with what the
     stages before have found. What they lack or get wrong is filled by the heuristic
-    results; a question for which the model failed ends as FAILED.
+    results; a question for which the model failed ends as FAILED. With ``log``, a folder of
+    answers by prompt, a run that was broken off asks no answered prompt again.
     """
     _usable(knowledge)
-    source = _Answers(responses, model, tries)
+    source = _Answers(responses, model, tries, log)
     knowledge = _asked_about(knowledge, questions)
     chunks = knowledge.chunks
     known = chunks.select("investigation_id") if investigations is None else investigations
@@ -134,11 +143,13 @@ def chat(
     history: DataFrame | None = None,
     tie_break: str = "insertion",
     tries: int = 3,
+    log: str | None = None,
 ) -> DataFrame:
     """Answers to follow-up messages; ``reports(investigation_id, ...)`` has one report each.
 
     Answers of a model are recorded in ``responses`` or come from ``model``, which also
-    gets the last messages of ``history`` if ``messages`` have a ``conv_id``.
+    gets the last messages of ``history`` if ``messages`` have a ``conv_id``; ``log`` as in
+    ``investigate``.
     """
     _usable(knowledge)
     knowledge = _asked_about(knowledge, messages)
@@ -151,7 +162,7 @@ def chat(
     )
     evidence = reasoning.evidence(materialize(found.hits))
     answers = reasoning.answers(messages, evidence, found.context.entities, known, tie_break)
-    source = _Answers(None if responses is None else {"answer": responses}, model, tries)
+    source = _Answers(None if responses is None else {"answer": responses}, model, tries, log)
 
     def asked() -> DataFrame:
         talk = messages if "conv_id" in messages.columns else messages.withColumn("conv_id", F.col("query_id"))

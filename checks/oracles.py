@@ -923,6 +923,11 @@ _norm = "sqrt(" + " + ".join(f"{v} * {v}" for v in "aeiou") + ")"
 oracle("model_embeddings", "SELECT chunk_id, " + ", ".join(
     f"round(CASE WHEN {_norm} = 0 THEN 0.0::DOUBLE ELSE {v} / {_norm} END, 6) AS {v}" for v in "aeiou"
 ) + " FROM (SELECT chunk_id, " + ", ".join(f"{_vowel(v)}::DOUBLE AS {v}" for v in "aeiou") + " FROM chunks)")
+_early = "(SELECT text FROM chunks WHERE investigation_id IN (" + ", ".join(f"'inv-{i}'" for i in range(0, 16, 3)) + "))"
+oracle("content_embeddings", "SELECT chunk_id, " + ", ".join(
+    f"round(CASE WHEN {_norm} = 0 THEN 0.0::DOUBLE WHEN early THEN {v} / {_norm} ELSE {w} / {_norm} END, 6) AS v{i}"
+    for i, (v, w) in enumerate(zip("aeiou", "uoiea"))
+) + f" FROM (SELECT chunk_id, text IN {_early} AS early, " + ", ".join(f"{_vowel(v)}::DOUBLE AS {v}" for v in "aeiou") + " FROM chunks)")
 oracle("retrieved_chunks", "SELECT query_id, rank, chunk_id, round(score, 6) AS score, md5(text) AS text_md5 FROM hits")
 oracle("retrieved_document_chunks", "SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM doc_hits")
 
@@ -1024,6 +1029,10 @@ oracle("batch_inference", f"""
   SELECT key, CASE WHEN contains(p, 'queue') THEN NULL ELSE upper(substring(p, 1, 20)) END AS response,
          CASE WHEN contains(p, 'queue') THEN 'ValueError: refused' END AS error
   FROM (SELECT chunk_id AS key, chunk_id || ' ' || {_SUMMARY} AS p FROM doc_chunks)""")
+oracle("logged_inference", f"""
+  SELECT key, CASE WHEN contains(p, 'queue') THEN lower(substring(p, 1, 20)) ELSE upper(substring(p, 1, 20)) END AS response,
+         CAST(NULL AS VARCHAR) AS error
+  FROM (SELECT chunk_id AS key, {_SUMMARY} AS p FROM doc_chunks)""")
 
 # --- Overview
 oracle("upload_counts", "SELECT * FROM doc_counts")

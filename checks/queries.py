@@ -17,8 +17,8 @@ from causeway.functions import responses as rs
 from causeway.functions import scores as sc
 from causeway.functions import text as tx
 from causeway.operators import (
-    centrality, chunking, dictionary, extraction, graph, prompts, rank_updates, reasoning, registry, retrieval,
-    traversal, vector_index, vector_search,
+    answer_log, centrality, chunking, content_vectors, dictionary, extraction, graph, prompts, rank_updates,
+    reasoning, registry, retrieval, traversal, vector_index, vector_search,
 )
 from causeway.plans import ingest, investigate
 from causeway.session import materialize, shared_folder
@@ -916,6 +916,30 @@ def model_embeddings(spark, folder):
     )
 
 
+@query
+def content_embeddings(spark, folder):
+    """Two uploads into one store of vectors by text, with different models: the second embeds
+    only texts that the first did not hold, so its vectors have the vowels in reverse order."""
+
+    def model(vowels: str):
+        def load():
+            import numpy as np
+
+            return lambda texts: np.array([[t.lower().count(v) for v in vowels] for t in texts])
+
+        return em.model_embedder(load)
+
+    chunks = materialize(ingest.incident_chunks(spark, folder))
+    path = f"{shared_folder(spark).rstrip('/')}/vectors-{uuid.uuid4().hex}"
+    early = F.col("investigation_id").isin([f"inv-{i}" for i in range(0, 16, 3)])
+    content_vectors.embed_by_content(chunks.filter(early), model("aeiou"), path)
+    found = content_vectors.embed_by_content(chunks, model("uoiea"), path)
+    return found.select(
+        "chunk_id",
+        *[F.round(F.get("embedding", F.lit(i)), 6).alias(f"v{i}") for i in range(5)],
+    )
+
+
 @query
 def retrieved_chunks(spark, folder):
     embedder = em.hashed_embedder(DIM)
@@ -1298,6 +1322,30 @@ def batch_inference(spark, folder):
     return prompts.infer(asked, load, wait=lambda seconds: None).select("key", "response", "error")
 
 
+@query
+def logged_inference(spark, folder):
+    """A log of answers over two runs with different models: the second is asked only what the
+    first failed to answer, so its answers are in lower case."""
+
+    def model(fails: bool):
+        def load():
+            def call(prompt: str, system: str | None) -> str:
+                if fails and "queue" in prompt:
+                    raise ValueError("refused")
+                return prompt[:20].upper() if fails else prompt[:20].lower()
+
+            return call
+
+        return load
+
+    asked = materialize(prompts.summary_prompts(ingest.document_chunks(spark, folder)))
+    path = f"{shared_folder(spark).rstrip('/')}/answers-{uuid.uuid4().hex}"
+    quiet = lambda seconds: None
+    answer_log.infer_logged(asked, model(True), path, wait=quiet, per_task=512)
+    found = answer_log.infer_logged(asked, model(False), path, wait=quiet, per_task=512)
+    return found.select("key", "response", "error")
+
+
 # --- Overview --------------------------------------------------------------------------
 
 
