@@ -221,7 +221,7 @@ def edges_of(edges: DataFrame, selected: DataFrame) -> DataFrame:
     return by_source.select(edges.columns).unionByName(by_target.select(edges.columns))
 
 
-def _grams(lengths: list[int]) -> Column:
+def grams(lengths: list[int]) -> Column:
     """Distinct substrings of the given lengths of the lower-cased name."""
     lower = F.lower("name")
 
@@ -242,9 +242,9 @@ def nodes_with_keyword(nodes: DataFrame, keywords: DataFrame, lengths: list[int]
     keyword. Joining them with the equally long substrings of the names is an equi-join
     that finds every candidate, so keywords are never paired with all nodes.
     """
-    grams = nodes.select("*", F.explode(_grams(lengths)).alias("gram"))
+    parts = nodes.select("*", F.explode(grams(lengths)).alias("gram"))
     return (
-        grams.join(keywords, ["investigation_id", "gram"])
+        parts.join(keywords, ["investigation_id", "gram"])
         .filter(F.contains(F.lower("name"), F.col("keyword")))
         .drop("gram")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from causeway import fixed_values as fv
 from causeway.functions import text as tx
 from causeway.functions.embedding import Embedder
-from causeway.operators import graph, traversal, vector_search
+from causeway.operators import graph, name_index, traversal, vector_search
 from causeway.session import materialize
 
 _MATCH = ["query_id", "investigation_id", "name", "type", "node_seq"]
@@ -52,9 +52,17 @@ def keyword_matches(questions: DataFrame, nodes: DataFrame) -> DataFrame:
     return named.join(words, ["investigation_id", "keyword"]).select(*_MATCH).distinct()
 
 
-def matched_entities(questions: DataFrame, nodes: DataFrame, ranked: DataFrame) -> DataFrame:
-    """Entities of each question: by keyword, else the five most central nodes."""
-    matches = keyword_matches(questions, nodes)
+def matched_entities(
+    questions: DataFrame, nodes: DataFrame, ranked: DataFrame, index: str | None = None
+) -> DataFrame:
+    """Entities of each question: by keyword, else the five most central nodes.
+
+    Keywords are looked up in the ``name_index`` at ``index``, if there is one.
+    """
+    if index is None:
+        matches = keyword_matches(questions, nodes)
+    else:
+        matches = materialize(name_index.keyword_matches(questions, index))
     unmatched = questions.join(
         matches.select("query_id").distinct(), "query_id", "left_anti"
     ).select("query_id", "investigation_id")
@@ -89,15 +97,16 @@ def graph_context(
     ranked: DataFrame,
     hops: int = fv.HOPS,
     tie_break: str = "insertion",
+    index: str | None = None,
 ) -> GraphContext:
     """Entities, relations and causes for ``questions(query_id, investigation_id, text)``.
 
     Causes are walked once per distinct entity, not once per question. Of the graph, only what
-    belongs to the investigations asked about is read.
+    belongs to the investigations asked about is read. ``index`` as in ``matched_entities``.
     """
     near = vector_search.scope(questions)
     nodes, edges, ranked = near(nodes), near(edges), near(ranked)
-    entities = materialize(matched_entities(asked(questions), nodes, ranked))
+    entities = materialize(matched_entities(asked(questions), nodes, ranked, index))
     starts = entities.select("investigation_id", F.col("name").alias("start")).distinct()
     return GraphContext(
         entities,
@@ -123,9 +132,10 @@ def hybrid(
     embedder: Embedder,
     k: int | None = None,
     tie_break: str = "insertion",
+    index: str | None = None,
 ) -> Retrieval:
     """Vector hits and graph context side by side; their scores are not mixed."""
     hits = vector_search.retrieve(chunks, asked(questions), embedder, k)
     return Retrieval(
-        hits, graph_context(questions, nodes, edges, ranked, tie_break=tie_break)
+        hits, graph_context(questions, nodes, edges, ranked, tie_break=tie_break, index=index)
     )

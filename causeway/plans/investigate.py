@@ -78,6 +78,7 @@ def investigate(
     tie_break: str = "insertion",
     tries: int = 3,
     log: str | None = None,
+    index: str | None = None,
 ) -> Investigation:
     """Retrieve, find the root cause, order the events and write the report.
 
@@ -89,7 +90,8 @@ def investigate(
     and ``report``, or come from ``model``, which is asked stage by stage with what the
     stages before have found. What they lack or get wrong is filled by the heuristic
     results; a question for which the model failed ends as FAILED. With ``log``, a folder of
-    answers by prompt, a run that was broken off asks no answered prompt again.
+    answers by prompt, a run that was broken off asks no answered prompt again. ``index`` is the folder of a
+    ``name_index`` of the knowledge's nodes.
     """
     _usable(knowledge)
     source = _Answers(responses, model, tries, log)
@@ -101,7 +103,7 @@ def investigate(
     questions = checked.filter("readiness = 'ready'").drop("readiness")
 
     found = retrieval.hybrid(
-        questions, chunks, knowledge.nodes, knowledge.edges, knowledge.ranks, embedder, tie_break=tie_break
+        questions, chunks, knowledge.nodes, knowledge.edges, knowledge.ranks, embedder, tie_break=tie_break, index=index
     )
     hits = materialize(found.hits)
     context = found.context._replace(found=materialize(found.context.found))
@@ -144,17 +146,18 @@ def chat(
     tie_break: str = "insertion",
     tries: int = 3,
     log: str | None = None,
+    index: str | None = None,
 ) -> DataFrame:
     """Answers to follow-up messages; ``reports(investigation_id, ...)`` has one report each.
 
     Answers of a model are recorded in ``responses`` or come from ``model``, which also
-    gets the last messages of ``history`` if ``messages`` have a ``conv_id``; ``log`` as in
-    ``investigate``.
+    gets the last messages of ``history`` if ``messages`` have a ``conv_id``; ``log`` and
+    ``index`` as in ``investigate``.
     """
     _usable(knowledge)
     knowledge = _asked_about(knowledge, messages)
     found = retrieval.hybrid(
-        messages, knowledge.chunks, knowledge.nodes, knowledge.edges, knowledge.ranks, embedder, tie_break=tie_break
+        messages, knowledge.chunks, knowledge.nodes, knowledge.edges, knowledge.ranks, embedder, tie_break=tie_break, index=index
     )
     known = messages.select("query_id", "investigation_id").join(
         reports.select("investigation_id", "root_cause", "cause_chain", "confidence"),

@@ -825,6 +825,7 @@ oracle("node_search", """
     FROM (SELECT investigation_id, unnest(list_filter(string_split_regex(
             regexp_replace(substring(raw, 21), '[:.]', '', 'g'), '\\s+'), lambda w: w <> '')) AS w FROM lines)) s
   JOIN nodes n ON n.investigation_id = s.investigation_id AND contains(lower(n.name), lower(s.text))""")
+ORACLES["indexed_node_search"] = ORACLES["node_search"]
 oracle("edges_of_errors", """
   SELECT investigation_id, source, target, type FROM edges e WHERE EXISTS (
     SELECT 1 FROM nodes n WHERE n.type = 'ERROR' AND n.investigation_id = e.investigation_id
@@ -933,6 +934,7 @@ oracle("retrieved_document_chunks", "SELECT query_id, rank, chunk_id, round(scor
 
 # --- Retrieval and reasoning
 oracle("keyword_matches", "SELECT query_id, name, type FROM keyword_hits")
+ORACLES["indexed_keyword_matches"] = ORACLES["keyword_matches"]
 CTES["all_turns"] = """
   SELECT conv_id || ':' || turn AS query_id, 'inv-' || (conv_id % 16) AS investigation_id, text FROM conversations"""
 ORACLES["matched_entities"] = _with("SELECT query_id, name, type FROM (" + _matched("all_turns") + ")")

@@ -17,8 +17,8 @@ from causeway.functions import responses as rs
 from causeway.functions import scores as sc
 from causeway.functions import text as tx
 from causeway.operators import (
-    answer_log, centrality, chunking, content_vectors, dictionary, extraction, graph, prompts, rank_updates,
-    reasoning, registry, retrieval, traversal, vector_index, vector_search,
+    answer_log, centrality, chunking, content_vectors, dictionary, extraction, graph, name_index,
+    prompts, rank_updates, reasoning, registry, retrieval, traversal, vector_index, vector_search,
 )
 from causeway.plans import ingest, investigate
 from causeway.session import materialize, shared_folder
@@ -659,18 +659,34 @@ def edge_types_and_top_entities(spark, folder):
     )
 
 
-@query
-def node_search(spark, folder):
-    """Nodes whose name contains a word of a log phrase, of any length."""
-    nodes = ingest.incident_knowledge(spark, folder).nodes
+def _searches(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of the log phrases and their first two letters."""
     words = tx.tokens(F.regexp_replace(F.expr("substring(raw, 21)"), r"[:.]", ""))
-    searches = (
+    return (
         il.incident_lines(spark, folder)
         .select("investigation_id", F.explode(words).alias("word"))
         .select("investigation_id", F.explode(F.array("word", F.substring("word", 1, 2))).alias("text"))
         .distinct()
     )
-    return graph.search_nodes(nodes, searches)
+
+
+@query
+def node_search(spark, folder):
+    """Nodes whose name contains a word of a log phrase, of any length."""
+    return graph.search_nodes(ingest.incident_knowledge(spark, folder).nodes, _searches(spark, folder))
+
+
+def _name_index(spark: SparkSession, nodes: DataFrame) -> str:
+    path = f"{shared_folder(spark).rstrip('/')}/names-{uuid.uuid4().hex}"
+    name_index.write_index(nodes, path)
+    return path
+
+
+@query
+def indexed_node_search(spark, folder):
+    """The same, from the stored index of names."""
+    path = _name_index(spark, ingest.incident_knowledge(spark, folder).nodes)
+    return name_index.search_nodes(spark, path, _searches(spark, folder))
 
 
 @query
@@ -1001,6 +1017,14 @@ def keyword_matches(spark, folder):
     )
 
 
+@query
+def indexed_keyword_matches(spark, folder):
+    """The same, from the stored index of names."""
+    case = Case(spark, folder)
+    path = _name_index(spark, case.knowledge.nodes)
+    return name_index.keyword_matches(case.questions, path).select("query_id", "name", "type")
+
+
 @query
 def matched_entities(spark, folder):
     """By keyword, or the central nodes: conversations ask about the incidents."""
