@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from causeway import fixed_values as fv
+from causeway.session import materialize
+
+_FEW = 100_000  # hubs that are broadcast
 
 
 def _order_key(tie_break: str) -> Column:
@@ -13,6 +16,42 @@ def _order_key(tie_break: str) -> Column:
     return F.col("node_seq") if tie_break == "insertion" else F.col("name")
 
 
+def _hubs(steps: DataFrame, hub: int) -> DataFrame | None:
+    """``parts`` of each node with over ``hub`` steps, none if there is no such node.
+
+    There are at most a ``hub``-th as many as steps; up to 100,000 are broadcast, which is checked.
+    """
+    found = materialize(
+        steps.groupBy("investigation_id", "node").count()
+        .filter(F.col("count") > hub)
+        .select("investigation_id", "node", F.ceil(F.col("count") / hub).cast("int").alias("parts"))
+    )
+    many = found.limit(_FEW + 1).count()
+    if many == 0:
+        return None
+    return F.broadcast(found) if many <= _FEW else found
+
+
+def _dealt(steps: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """Steps with the ``part`` of their node that they fall into, 0 for all but hubs."""
+    if hubs is None:
+        return steps.withColumn("part", F.lit(0))
+    part = F.pmod(F.xxhash64("cause"), F.coalesce("parts", F.lit(1))).cast("int")
+    return steps.join(hubs, ["investigation_id", "node"], "left").withColumn("part", part).drop("parts")
+
+
+def _stepped(level: DataFrame, steps: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """One step on from each row of ``level``; those at a hub meet each of its parts."""
+    if hubs is None:
+        level = level.withColumn("part", F.lit(0))
+    else:
+        last = F.coalesce("parts", F.lit(1)) - 1
+        level = level.join(hubs, ["investigation_id", "node"], "left").withColumn(
+            "part", F.explode(F.sequence(F.lit(0), last))
+        ).drop("parts")
+    return level.join(steps, ["investigation_id", "node", "part"])
+
+
 def upstream(
     nodes: DataFrame,
     edges: DataFrame,
@@ -20,6 +59,7 @@ def upstream(
     hops: int = fv.HOPS,
     edge_types: list[str] | None = None,
     tie_break: str = "insertion",
+    hub: int = 100_000,
 ) -> DataFrame:
     """Nodes that lead to each start within ``hops`` edges, without the start itself.
 
@@ -27,9 +67,11 @@ def upstream(
     ``reach``, which sorts the nodes of a hop in breadth-first order: by the node they
     were reached from, then by their own position in the graph.
 
-    Levels are joins, one row per (start, node). A node that turns up again on a longer
-    walk loses to its shorter one in the last aggregation, so no set of visited nodes is
-    kept.
+    Levels are joins, one row per (start, node), each written once. A node that is met
+    again is dropped in the aggregation of the level that meets it, where what was reached
+    before takes part as bare keys, and the walk does not go on from it. Nodes with over
+    ``hub`` incoming edges are split: their edges fall into parts of about that size, and
+    the frontier meets each part.
     """
     if edge_types is not None:
         edges = edges.filter(F.col("type").isin(edge_types))
@@ -38,32 +80,39 @@ def upstream(
     )
     steps = edges.select(
         "investigation_id", F.col("target").alias("node"), F.col("source").alias("cause")
-    ).join(order, ["investigation_id", "cause"])
+    )
+    hubs = _hubs(steps, hub)
+    steps = _dealt(steps, hubs).join(order, ["investigation_id", "cause"])
 
     pair = ["investigation_id", "start", "node"]
+    reached = order.limit(0).select(
+        "investigation_id", F.col("cause").alias("start"), F.col("cause").alias("node"),
+        F.lit(0).alias("hop"), F.array("cause_key").alias("reach"),
+    )
     level = starts.select(
         "investigation_id", "start", F.col("start").alias("node"), F.array().alias("reach")
     )
-    levels = []
     for hop in range(1, hops + 1):
         own = F.array("cause_key")
         reach = own if hop == 1 else F.concat("reach", own)
+        met = (
+            _stepped(level, steps, hubs)
+            .select("investigation_id", "start", F.col("cause").alias("node"), reach.alias("reach"), F.lit(hop).alias("hop"))
+            .filter(F.col("node") != F.col("start"))
+        )
+        if hop > 1:
+            known = reached.withColumn("reach", F.lit(None).cast(reached.schema["reach"].dataType))
+            met = met.unionByName(known)
         level = (
-            level.join(steps, ["investigation_id", "node"])
-            .select("investigation_id", "start", F.col("cause").alias("node"), reach.alias("reach"))
-            .groupBy(*pair)
-            .agg(F.min("reach").alias("reach"))
+            met.groupBy(*pair)
+            .agg(F.min(F.struct("hop", "reach")).alias("nearest"))
+            .filter(F.col("nearest.hop") == hop)
+            .select(*pair, "nearest.hop", "nearest.reach")
         )
-        levels.append(level.withColumn("hop", F.lit(hop)))
-    found = levels[0]
-    for further in levels[1:]:
-        found = found.unionByName(further)
-    return (
-        found.filter(F.col("node") != F.col("start"))
-        .groupBy(*pair)
-        .agg(F.min(F.struct("hop", "reach")).alias("nearest"))
-        .select(*pair, "nearest.hop", "nearest.reach")
-    )
+        if hop < hops:
+            level = materialize(level)
+        reached = level if hop == 1 else reached.unionByName(level)
+    return reached
 
 
 def path_steps(found: DataFrame) -> DataFrame:
