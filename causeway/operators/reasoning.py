@@ -151,16 +151,24 @@ def prefer(given: DataFrame, otherwise: DataFrame) -> DataFrame:
     return otherwise.join(marked, "query_id", "left").select(*columns)
 
 
-def timelines(hits: DataFrame) -> DataFrame:
+def timelines(hits: DataFrame, times: DataFrame | None = None) -> DataFrame:
     """Events of each question: timed ones by their time as text, then the others.
 
-    Ties and untimed events keep the order of retrieval; the first twelve stay.
+    Ties and untimed events keep the order of retrieval; the first twelve stay. With
+    ``times(investigation_id, chunk_id, event_ts)``, see ``event_times``, events come in the
+    order of their timestamps and carry them; those of an unknown day follow.
     """
     time = tx.event_timestamp(F.col("text"))
-    by_time = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("timestamp"), "hit_rank")
+    order = [F.asc_nulls_last("timestamp"), F.col("hit_rank")]
+    parsed = [] if times is None else ["event_ts"]
+    if times is not None:
+        hits = hits.join(times, ["investigation_id", "chunk_id"], "left")
+        order.insert(0, F.asc_nulls_last("event_ts"))
+    by_time = Window.partitionBy("query_id").orderBy(*order)
     snippet = F.col("description")
     return (
         hits.select(
+            *parsed,
             "query_id",
             "chunk_id",
             F.col("rank").alias("hit_rank"),
@@ -177,6 +185,7 @@ def timelines(hits: DataFrame) -> DataFrame:
             "description",
             tx.severity(snippet).alias("severity"),
             F.array("chunk_id").alias("source_chunk_ids"),
+            *parsed,
         )
     )
 

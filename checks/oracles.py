@@ -960,6 +960,25 @@ oracle("preferred_root_causes", """
 oracle("timelines", """
   SELECT query_id, pos AS "order", timestamp, title, description, severity, chunk_id AS source_chunk_ids,
          coalesce(nullif(timestamp, ''), '#' || (pos + 1)) AS label FROM events_of""")
+CTES["chunk_days"] = r"""
+  SELECT investigation_id, chunk_id, last_value(day IGNORE NULLS) OVER (
+           PARTITION BY investigation_id, document_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS day
+  FROM (SELECT *, regexp_extract_all(text, '(\d{4}-\d{2}-\d{2})[T ]\d{2}:\d{2}:\d{2}', 1)[-1] AS day FROM chunks)"""
+oracle("dated_timelines", f"""
+  SELECT query_id, pos AS "order", {_shorten('description', 60)} AS title, event_ts
+  FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY event_ts NULLS LAST, timestamp NULLS LAST, rank) - 1
+                       AS INTEGER) AS pos
+        FROM (SELECT *, CASE WHEN length(timestamp) > 8 THEN replace(timestamp, 'T', ' ') ELSE day || ' ' || timestamp END AS event_ts
+              FROM (SELECT query_id, rank, {_event_time('text')} AS timestamp, day,
+                           substring({_one_line('text')}, 1, 140) AS description
+                    FROM hits JOIN chunk_days USING (chunk_id))))
+  WHERE pos < 12""")
+oracle("dated_log_lines", """
+  SELECT event_id, CASE WHEN warns THEN day || ' ' || clock ELSE clock END AS timestamp,
+         CASE WHEN warns THEN day ELSE last_value(CASE WHEN warns THEN day END IGNORE NULLS) OVER (
+           PARTITION BY investigation_id, document_id ORDER BY event_id
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END || ' ' || clock AS event_ts
+  FROM (SELECT *, contains(raw, ' WARN: ') AS warns, substring(raw, 1, 10) AS day, substring(raw, 12, 8) AS clock FROM lines)""")
 oracle("timelines_from_responses", """
   SELECT query_id, pos AS "order", timestamp, title, description, severity FROM given_events""")
 oracle("preferred_timelines", """

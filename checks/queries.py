@@ -17,7 +17,7 @@ from causeway.functions import responses as rs
 from causeway.functions import scores as sc
 from causeway.functions import text as tx
 from causeway.operators import (
-    answer_log, centrality, chunking, content_vectors, dictionary, extraction, graph, name_index,
+    answer_log, centrality, chunking, content_vectors, dictionary, event_times, extraction, graph, name_index,
     prompts, rank_updates, reasoning, registry, retrieval, traversal, vector_index, vector_search,
 )
 from causeway.plans import ingest, investigate
@@ -1145,6 +1145,27 @@ def timelines(spark, folder):
     )
 
 
+@query
+def dated_timelines(spark, folder):
+    """Timelines in the order of parsed times."""
+    case = Case(spark, folder)
+    events = reasoning.timelines(case.hits(), event_times.chunk_times(case.knowledge.chunks))
+    return events.select(
+        "query_id", "order", "title", F.date_format("event_ts", "yyyy-MM-dd HH:mm:ss").alias("event_ts")
+    )
+
+
+@query
+def dated_log_lines(spark, folder):
+    """Logs that name the day in the lines of one level only: times of all lines."""
+    raw = F.when(F.contains(F.col("raw"), F.lit(" WARN: ")), F.col("raw")).otherwise(F.expr("substring(raw, 12)"))
+    lines = il.incident_lines(spark, folder).withColumn("raw", raw)
+    times = event_times.event_times(lines, ["investigation_id", "document_id"], "event_id", "raw")
+    return times.select(
+        "event_id", "timestamp", F.date_format("event_ts", "yyyy-MM-dd HH:mm:ss").alias("event_ts")
+    )
+
+
 def _timeline_responses(questions: DataFrame) -> DataFrame:
     q = F.col("query_id")
     return _question_responses(
