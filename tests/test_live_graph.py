@@ -5,6 +5,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import Row
 
 from causeway.operators import extraction, graph
 from causeway.streaming import ingest, live_graph
@@ -118,3 +119,31 @@ def test_reports_merge_in_any_order():
                 state = live_graph.merged(state, r)
             results.add(repr(state))
         assert len(results) == 1
+
+
+def test_a_document_costs_rows_and_one_look_at_its_state():
+    class Seen:
+        kept, looks = {}, 0
+
+        def get(self):
+            self.looks += 1
+            return self.kept.get("d")
+
+        def update(self, value):
+            self.kept["d"] = value
+
+    def chunk(version, name, chunk_id="d:0"):
+        found = [{"name": name, "type": "API"}]
+        return Row(investigation_id="i", document_id="d", doc_seq=version, chunk_id=chunk_id, entities=found, relations=[])
+
+    versions = live_graph.Versions(None)
+    versions.seen = Seen()
+
+    def send(*rows):
+        return list(versions.handleInputRows(("i", "d"), iter(rows), None))
+
+    assert send(chunk(1, "Old"), chunk(2, "Redis"), chunk(2, "Redis"), chunk(1, "Old")) == [chunk(2, "Redis")]
+    assert send(chunk(2, "Redis"), chunk(1, "Old")) == []
+    new, gone = send(chunk(3, "Kafka"))
+    assert new == chunk(3, "Kafka") and gone.chunk_id is None and gone.doc_seq == 3
+    assert gone.entities == [{"name": "Redis", "type": None}] and versions.seen.looks == 3
