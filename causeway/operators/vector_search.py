@@ -16,6 +16,9 @@ DIGITS = 9
 _FOUND = (
     "query_id string, investigation_id string, chunk_id string, doc_seq bigint, chunk_index bigint, score double"
 )
+_BLOCKS = 4  # blocks of either side of an investigation, as long as they are small enough
+_BLOCK_BYTES = 1 << 25  # of the vectors in a larger block, at most
+_SCORES = 1 << 21  # scores in memory at once
 _ANY = 4096  # investigations named in a filter; more are met by a join
 
 
@@ -92,18 +95,29 @@ def _search_few(vectors: DataFrame, questions: list, k: int) -> DataFrame:
     return vectors.mapInPandas(search, _FOUND)
 
 
-def _search_many(
-    vectors: DataFrame, questions: DataFrame, k: int, chunk_block: int, query_block: int
-) -> DataFrame:
-    """Questions and chunks meet in blocks of bounded size, however large either side is."""
+def _layout(vectors: DataFrame, questions: DataFrame, chunk_block: int, query_block: int) -> DataFrame:
+    """``chunk_blocks`` and ``query_blocks`` of each investigation.
+
+    A row is copied to all blocks of the other side. So blocks grow with the investigation, to
+    ``_BLOCKS`` of each side, as long as they stay within ``_BLOCK_BYTES`` of vectors.
+    """
 
     def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
-        return df.groupBy("investigation_id").agg(F.ceil(F.count("*") / size).alias(name))
+        rows, dim = F.count("*"), F.max(F.size("embedding"))
+        most = F.greatest(F.lit(size), F.least(F.ceil(rows / _BLOCKS), F.floor(F.lit(_BLOCK_BYTES) / (8 * dim))))
+        return df.groupBy("investigation_id").agg(F.ceil(rows / most).alias(name))
 
-    layout = blocks(vectors, chunk_block, "chunk_blocks").join(
+    return blocks(vectors, chunk_block, "chunk_blocks").join(
         blocks(questions, query_block, "query_blocks"), "investigation_id"
     )
 
+
+def _search_many(
+    vectors: DataFrame, questions: DataFrame, k: int, chunk_block: int, query_block: int
+) -> DataFrame:
+    """Questions and chunks meet in blocks of bounded size, however large either side is."""
+    layout = _layout(vectors, questions, chunk_block, query_block)
+
     def every(count: str) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1))
 
@@ -121,8 +135,12 @@ def _search_many(
     def search(q: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(chunks):
             return pd.DataFrame(columns=[c.split()[0] for c in _FOUND.split(", ")])
-        matrix = np.stack(q["embedding"].to_numpy()).astype("float64")
-        return _best(chunks, q["query_id"].to_numpy(), matrix, k)
+        ids, embedded = q["query_id"].to_numpy(), q["embedding"].to_numpy()
+        step = max(1, _SCORES // len(chunks))
+        return pd.concat(
+            _best(chunks, ids[at : at + step], np.stack(embedded[at : at + step]).astype("float64"), k)
+            for at in range(0, len(ids), step)
+        )
 
     cell = ["investigation_id", "qb", "cb"]
     return (
