@@ -1,4 +1,8 @@
-"""Near duplicates by the exact Jaccard similarity of word shingles, found by prefix filtering."""
+"""Near duplicates by the exact Jaccard similarity of word shingles, found by SimHash.
+
+Sets whose fingerprints lie within a few bits are candidates; prefix filtering adds the similar
+ones whose fingerprints lie farther apart. An exact check of all candidates follows.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +18,7 @@ from pyspark.sql import functions as F
 
 from causeway.llm.common import KeyedRows, ids_and_texts, keyed_rows, partitions
 from causeway.llm.components import components
-from causeway.llm.simhash import Forest
+from causeway.llm.simhash import Forest, links_within, set_fingerprints
 from causeway.session import materialize
 
 _BLOCK = 1 << 21  # shingles in a block of a cluster, about
@@ -75,6 +79,22 @@ def _texts(batches: Iterator[pa.RecordBatch], words: int):
         yield batch, *shingle_sets(batch.column("text"), words)
 
 
+def near_by_fingerprint(points: DataFrame, bits: int = 4) -> DataFrame:
+    """Pairs ``a, b, n, m`` of sets, with their sizes, whose SimHash fingerprints lie within ``bits``.
+
+    ``points(point, fp, n)``. The pairs connect all sets of such fingerprints: the least of a
+    fingerprint's sets stands for it. Pairs whose sizes rule out a similarity of 0.8 are left out.
+    """
+    sets = points.filter("n > 0")
+    heads = materialize(sets.groupBy("fp").agg(F.min(F.struct("point", "n")).alias("head")).select("fp", "head.point", "head.n"))
+    least = [heads.select(F.col("fp").alias(f"{x}fp"), F.col("point").alias(x), F.col("n").alias(y)) for x, y in (("a", "n"), ("b", "m"))]
+    apart = links_within(heads.select("fp"), bits).select(F.col("a").alias("afp"), F.col("b").alias("bfp"))
+    apart = apart.join(least[0], "afp").join(least[1], "bfp")
+    same = sets.select(F.col("fp").alias("afp"), F.col("point").alias("b"), F.col("n").alias("m")).join(least[0], "afp").filter("a <> b")
+    pairs = apart.select("a", "b", "n", "m").unionByName(same.select("a", "b", "n", "m"))
+    return pairs.filter("4 * greatest(n, m) <= 5 * least(n, m)")
+
+
 def shared_prefixes(rows: DataFrame, words: int = 5) -> DataFrame:
     """What sets share in their prefixes: pairs ``a, b, n, m, shared``, and ``a, n, df, least``
     (with null ``b``) for hashes in the prefixes of more than ``_FEW`` sets.
@@ -164,10 +184,11 @@ def pairs_of_groups(point: np.ndarray, n: np.ndarray, first: np.ndarray, df: np.
     return [a[start], b[start], n[start], m[start], np.diff(np.append(start, len(a)))]
 
 
-def clusters(shared: DataFrame) -> DataFrame:
+def clusters(near: DataFrame, shared: DataFrame) -> DataFrame:
     """``point, n, cluster``: sets that may be similar to another share a cluster with it.
 
-    Similar sets share at least the smaller of their l (see ``shared_prefixes``) prefix hashes.
+    Pairs in ``near`` are candidates. So that none is lost whose fingerprints lie far apart, those
+    of ``shared_prefixes`` are added. Similar sets share at least the smaller of their l (see ``shared_prefixes``) prefix hashes.
     A pair is a candidate if those that it shares, with the frequent ones that both have, are
     as many. Two sets that share frequent hashes alone have that many of them; such sets are
     linked by each frequent hash. If each lays aside the most frequent of these, less than half
@@ -182,7 +203,7 @@ def clusters(shared: DataFrame) -> DataFrame:
         pairs = pairs.join(held, end, "left")
     enough = F.floor(F.least("n", "m") / 10) + 1
     both = F.least(F.coalesce("held_a", F.lit(0)), F.coalesce("held_b", F.lit(0)))
-    pairs = materialize(pairs.filter(F.col("shared") + both >= enough).select("a", "b", "n", "m"))
+    pairs = materialize(near.unionByName(pairs.filter(F.col("shared") + both >= enough).select("a", "b", "n", "m")))
     need = F.floor(F.floor((4 * F.col("n") + 4) / 5) / 10) + 1
     own = W.partitionBy("point")
     alive = (
@@ -229,17 +250,18 @@ def similar_links(flat: np.ndarray, bounds: np.ndarray) -> list[tuple[np.ndarray
 def links(docs: KeyedRows, points: DataFrame, text_col: str, words: int = 5) -> DataFrame:
     """Links ``(a, b)`` that connect exactly the sets of similarity 0.8 or more.
 
-    ``points(point, file, at)`` names one row of ``docs`` for each set; only those in a cluster
+    ``points(point, fp, n, file, at)`` names one row of ``docs`` for each set; only those in a cluster
     meet again. A cluster is cut into blocks of about 2 million shingles, and each pair of
     blocks meets in one task.
     """
     texts = ids_and_texts(docs.df, docs.at, text_col)
-    members = materialize(clusters(materialize(shared_prefixes(texts, words))))
+    near = near_by_fingerprint(points.select("point", "fp", "n"))
+    members = materialize(clusters(near, materialize(shared_prefixes(texts, words))))
     blocks = members.groupBy("cluster").agg(F.ceil(F.sum("n") / _BLOCK).alias("blocks")).filter("blocks > 1")
     blocks = members.join(blocks, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("point"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    asked = materialize(points.join(blocks, "point"))
+    asked = materialize(points.select("point", "file", "at").join(blocks, "point"))
     found = docs.only(asked.select("file", "at")).select(*docs.keys(), F.coalesce(text_col, F.lit("")).alias("text"))
     dealt = found.join(asked, ["file", "at"]).withColumn("other", other).filter("blocks = 1 OR block <> other")
     low, high = F.least("block", "other"), F.greatest("block", "other")
@@ -274,8 +296,8 @@ def links(docs: KeyedRows, points: DataFrame, text_col: str, words: int = 5) ->
 def drop_near_duplicates(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, all columns, with one row of each component of similar texts.
 
-    Texts are linked if the Jaccard similarity of their sets of ``words``-word shingles is 0.8
-    or more; a component is everything reachable. The row with the smallest id stays; a row
+    SimHash fingerprints of the sets of ``words``-word shingles give candidates, prefixes those
+    that fingerprints miss. Texts are linked if the Jaccard similarity of their sets is 0.8 or more; a component is everything reachable. The row with the smallest id stays; a row
     without an id stays only where no row of the component has one, and of several rows with
     that id the one that lies first. A null text is an empty one; texts without words are
     alike. An empty table gives no rows. Rows that go are marked and left out where the rest is
@@ -287,12 +309,14 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, id_col: str = "doc_id"
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "file", "at"]
         for batch, hashes, bounds in _texts(batches, words):
-            yield pa.record_batch([*(batch.column(c) for c in names), pa.array(_points(hashes, bounds))], [*names, "point"])
+            fps, sizes = set_fingerprints(hashes, bounds).view(np.int64), np.diff(bounds)
+            found = (_points(hashes, bounds), fps, sizes)
+            yield pa.record_batch([*(batch.column(c) for c in names), *map(pa.array, found)], [*names, "point", "fp", "n"])
 
-    rows = materialize(texts.mapInArrow(number, "doc_id long, file long, at long, point long"))
+    rows = materialize(texts.mapInArrow(number, "doc_id long, file long, at long, point long, fp long, n long"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "file", "at")).alias("first")
-    points = materialize(rows.groupBy("point").agg(first))
-    roots = materialize(components(links(docs, points.select("point", "first.file", "first.at"), text_col, words)))
+    points = materialize(rows.groupBy("point").agg(first, F.min("fp").alias("fp"), F.min("n").alias("n")))
+    roots = materialize(components(links(docs, points.select("point", "fp", "n", "first.file", "first.at"), text_col, words)))
     named = points.join(roots.withColumnRenamed("node", "point"), "point", "left")
     stay = named.groupBy(F.coalesce("root", "point")).agg(F.min("first").alias("first"))
     return docs.without(rows.join(stay.select("first.file", "first.at"), ["file", "at"], "left_anti").select("file", "at"))

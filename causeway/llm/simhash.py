@@ -44,6 +44,18 @@ def fingerprint(text: str, words: int = 4) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def set_fingerprints(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The 64-bit SimHash of each of many sets of hashes, ``bounds`` apart; that of an empty set is 0."""
+    ones = np.zeros((len(bounds) - 1, 64), dtype=np.int64)
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    for at in range(0, len(hashes), 1 << 15):
+        part, of = hashes[at : at + (1 << 15)].astype("<u8"), owner[at : at + (1 << 15)]
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        ones[of[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > np.diff(bounds)[:, None], axis=1, bitorder="little").view("<u8").reshape(-1)
+
+
 def fingerprints(
     docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text", *more: str
 ) -> DataFrame:
