@@ -188,7 +188,8 @@ def search(
     ``questions(query_id, investigation_id, embedding)``. Result: ``query_id,
     investigation_id, chunk_id, score, rank``; a chunk id is unique only within its
     investigation. Rows without a vector are ignored. Up to ``few`` questions are
-    broadcast, which is checked; more of them meet the chunks in blocks. Either way only
+    broadcast, which is checked; more of them meet the chunks in blocks, of ``chunk_block`` and
+    ``query_block`` rows at least. Either way only
     the best ``k`` of a partition or block leave it.
     """
     k = fv.TOP_K if k is None else k
