@@ -41,6 +41,9 @@ CAUSAL = (
     r"(?iU)([\w\s\x1c-\x1f\-]{3,40}?)" + SPACE + "+" + CONNECTORS + SPACE + "+"
     r"([\w\s\x1c-\x1f\-]{3,40})"
 )
+# Characters that no match of CAUSAL holds, and the length of its shortest match.
+CAUSAL_BREAK = r"[!-,./:-@\[-^`{-~]+"
+CAUSAL_LENGTH = 14
 LINE_TIMESTAMPS = [
     r"(?U)\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?Z?",
     r"(?U)\b\d{2}:\d{2}:\d{2}\b",

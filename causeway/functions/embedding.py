@@ -6,59 +6,62 @@ time for a filter on its result.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 from causeway import fixed_values as fv
 from causeway.functions import text as tx
 
 Embedder = Callable[[Column], Column]
+_CELLS = 1 << 19  # counts summed at once
 
 
 def hashed_embedder(dim: int = fv.EMBEDDING_DIM) -> Embedder:
-    """Word counts hashed into ``dim`` buckets, scaled to length 1, in built-in functions.
+    """Word counts hashed into ``dim`` buckets, scaled to length 1.
 
     The deterministic default, for use without a model. A word is a run of letters and
-    digits; its bucket is the first eight hex digits of its MD5, modulo ``dim``. The vector
-    is put together from the sorted buckets: the zeros before each, then its weight.
+    digits; its bucket is the first eight hex digits of its MD5, modulo ``dim``. Words are cut
+    by the built-in expression; a batch's distinct words are hashed once and its counts
+    summed in one array.
     """
 
+    @F.arrow_udf("array<double>")
+    def vectors(words: pa.Array) -> pa.Array:
+        return _hashed(words, dim)
+
+    once = vectors.asNondeterministic()
+
     def embed(text: Column) -> Column:
-        words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-        bucket = lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dim).cast("int")
-        return _let(F.sort_array(F.transform(words, bucket)), vector)
-
-    def vector(hits: Column) -> Column:
-        def placed(at: Column) -> Column:
-            return _let(F.transform(at, lambda i: F.get(hits, i)), lambda used: scaled(used, at))
-
-        def scaled(used: Column, at: Column) -> Column:
-            counts = F.transform(at, lambda p, i: (F.coalesce(F.get(at, i + 1), F.size(hits)) - p).cast("double"))
-            return _let(counts, lambda n: joined(used, n, F.sqrt(F.aggregate(n, F.lit(0.0), lambda s, c: s + c * c))))
-
-        def joined(used: Column, counts: Column, length: Column) -> Column:
-            parts = F.transform(
-                used,
-                lambda b, i: F.concat(
-                    F.array_repeat(F.lit(0.0), b - F.coalesce(F.get(used, i - 1), F.lit(-1)) - 1),
-                    F.array(F.get(counts, i) / length),
-                ),
-            )
-            last = F.coalesce(F.get(used, F.size(used) - 1), F.lit(-1))
-            return F.concat(F.flatten(parts), F.array_repeat(F.lit(0.0), F.lit(dim - 1) - last))
-
-        begins = F.transform(hits, lambda h, i: F.when((i == 0) | (h != F.get(hits, i - 1)), i))
-        return _let(F.filter(begins, lambda i: i.isNotNull()), placed)  # where each run of a bucket begins
+        return once(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
 
     return embed
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once however often it is named."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _hashed(words: pa.Array, dim: int) -> pa.Array:
+    """Vectors of a batch of word lists."""
+    rows = len(words)
+    of_row = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    spelled = words.flatten().dictionary_encode()
+    distinct = spelled.dictionary.cast(pa.binary()).to_pylist()
+    bucket = np.array([int(hashlib.md5(w).hexdigest()[:8], 16) % dim for w in distinct], "int64")
+    hits = bucket[spelled.indices.to_numpy(zero_copy_only=False)]
+    ends = np.concatenate([[0], np.cumsum(of_row)]).astype("int64")
+    weights = np.empty((rows, dim))
+    step = max(1, _CELLS // dim)
+    for at in range(0, rows, step):
+        to = min(at + step, rows)
+        row = np.repeat(np.arange(to - at), of_row[at:to])
+        counts = np.bincount(row * dim + hits[ends[at] : ends[to]], minlength=(to - at) * dim)
+        counts = counts.reshape(to - at, dim).astype("float64")
+        lengths = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+        np.divide(counts, np.where(lengths == 0, 1.0, lengths), out=weights[at:to])
+    offsets = pa.array(np.arange(rows + 1, dtype="int64") * dim, pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(weights.reshape(-1)))
 
 
 def model_embedder(load: Callable[[], Callable[[list[str]], np.ndarray]]) -> Embedder:

@@ -50,11 +50,17 @@ def dictionary_hits(chunks: DataFrame, word_boundary: bool = False) -> DataFrame
 def causal_pairs(text: Column, connected: Column) -> Column:
     """``cause - connector - effect`` phrases, left to right without overlap.
 
-    The text is scanned once; cause and effect are then read from each short match. A
-    chunk without any connector word (``connected``) skips the costly pattern.
+    A match holds a connector and no punctuation but hyphens and underscores. So, of a chunk
+    with a connector word (``connected``), the costly pattern scans only the runs between
+    punctuation that hold one. Cause and effect are then read from each short match.
     """
+    runs = F.filter(
+        F.split(text, fv.CAUSAL_BREAK),
+        lambda run: (F.length(run) >= fv.CAUSAL_LENGTH) & run.rlike("(?iU)" + fv.CONNECTORS),
+    )
     matches = F.when(
-        connected, F.regexp_extract_all(text, F.lit(fv.CAUSAL), F.lit(0))
+        connected,
+        F.flatten(F.transform(runs, lambda run: F.regexp_extract_all(run, F.lit(fv.CAUSAL), F.lit(0)))),
     ).otherwise(F.array().cast("array<string>"))
 
     def phrase(match: Column, group: int) -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from causeway import fixed_values as fv
@@ -16,6 +17,9 @@ DIGITS = 9
 _FOUND = (
     "query_id string, investigation_id string, chunk_id string, doc_seq bigint, chunk_index bigint, score double"
 )
+_FOUND_ARROW = pa.schema(
+    [(n, {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64()}[t]) for n, t in (c.split() for c in _FOUND.split(", "))]
+)
 _BLOCKS = 4  # blocks of either side of an investigation, as long as they are small enough
 _BLOCK_BYTES = 1 << 25  # of the vectors in a larger block, at most
 _SCORES = 1 << 21  # scores in memory at once
@@ -33,13 +37,20 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.when(lengths == 0, F.lit(1e-9)).otherwise(lengths)
 
 
-def _best(chunks: pd.DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
+def _matrix(embedded: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one dimension as the rows of a matrix, from their values side by side."""
+    if isinstance(embedded, pa.ChunkedArray):
+        embedded = embedded.combine_chunks()
+    values = embedded.flatten().to_numpy(zero_copy_only=False).astype("float64", copy=False)
+    return values.reshape(len(embedded), -1)
+
+
+def _best(chunks: pd.DataFrame, vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
     """Best ``k`` chunks of one investigation for each query; position settles ties.
 
     All queries are ranked at once: one partition of the score matrix finds each query's
     limit, and one sort orders what reaches it.
     """
-    vectors = np.stack(chunks["embedding"].to_numpy()).astype("float64")
     lengths = np.outer(np.linalg.norm(queries, axis=1), np.linalg.norm(vectors, axis=1))
     scores = (queries @ vectors.T) / np.where(lengths == 0, 1e-9, lengths)
     compared = np.round(scores, DIGITS)
@@ -74,12 +85,14 @@ def _search_few(vectors: DataFrame, questions: list, k: int) -> DataFrame:
         {i: (np.array(ids), np.array(rows, "float64")) for i, (ids, rows) in grouped.items()}
     )
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = None
         for batch in batches:
-            for investigation, chunks in batch.groupby("investigation_id", sort=False):
+            rows = batch.drop_columns(["embedding"]).to_pandas()
+            for investigation, places in rows.groupby("investigation_id", sort=False).indices.items():
                 if investigation in shared.value:
-                    found = _best(chunks, *shared.value[investigation], k)
+                    vectors = _matrix(batch.column("embedding").take(pa.array(places)))
+                    found = _best(rows.iloc[places], vectors, *shared.value[investigation], k)
                     best = found if best is None else pd.concat([best, found])
             if best is not None:
                 best = (
@@ -90,9 +103,9 @@ def _search_few(vectors: DataFrame, questions: list, k: int) -> DataFrame:
                     .drop(columns="compared")
                 )
         if best is not None:
-            yield best
+            yield pa.RecordBatch.from_pandas(best, _FOUND_ARROW, preserve_index=False)
 
-    return vectors.mapInPandas(search, _FOUND)
+    return vectors.mapInArrow(search, _FOUND)
 
 
 def _layout(vectors: DataFrame, questions: DataFrame, chunk_block: int, query_block: int) -> DataFrame:
@@ -132,15 +145,17 @@ def _search_many(
         .withColumn("qb", every("query_blocks"))
     )
 
-    def search(q: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
+    def search(q: pa.Table, chunks: pa.Table) -> pa.Table:
         if not len(q) or not len(chunks):
-            return pd.DataFrame(columns=[c.split()[0] for c in _FOUND.split(", ")])
-        ids, embedded = q["query_id"].to_numpy(), q["embedding"].to_numpy()
-        step = max(1, _SCORES // len(chunks))
-        return pd.concat(
-            _best(chunks, ids[at : at + step], np.stack(embedded[at : at + step]).astype("float64"), k)
+            return _FOUND_ARROW.empty_table()
+        ids, queries = q.column("query_id").to_numpy(), _matrix(q.column("embedding"))
+        rows, vectors = chunks.drop_columns(["embedding"]).to_pandas(), _matrix(chunks.column("embedding"))
+        step = max(1, _SCORES // len(rows))
+        found = pd.concat(
+            _best(rows, vectors, ids[at : at + step], queries[at : at + step], k)
             for at in range(0, len(ids), step)
         )
+        return pa.Table.from_pandas(found, _FOUND_ARROW, preserve_index=False)
 
     cell = ["investigation_id", "qb", "cb"]
     return (
@@ -151,7 +166,7 @@ def _search_many(
                 *cell, "chunk_id", "doc_seq", "chunk_index", "embedding"
             ).groupBy(*cell)
         )
-        .applyInPandas(search, _FOUND)
+        .applyInArrow(search, _FOUND)
     )
 
 
