@@ -45,7 +45,8 @@ def stored(spark: SparkSession, path: str, schema) -> DataFrame | None:
 def write_vectors(chunks: DataFrame, path: str, version: int = 0) -> None:
     """Append chunks that have a vector, as one ``version`` of their documents.
 
-    A chunk already stored in this version is not stored again. A corrected upload is
+    A chunk already stored in this version is not stored again. Whether a key comes twice is asked
+    of the keys alone, so texts and vectors move for it only if one does. A corrected upload is
     written with a higher version, which replaces the whole document for readers. Ids count
     within their investigation. Of the store, only the keys of the investigations being
     written are read. Files are laid out by investigation; rebalancing splits the partition
@@ -56,8 +57,9 @@ def write_vectors(chunks: DataFrame, path: str, version: int = 0) -> None:
         chunks.filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0))
         .select(*_VECTOR_KEY, "doc_seq", "chunk_index", "text", "embedding")
         .withColumn("version", F.lit(version).cast("bigint"))
-        .dropDuplicates(_VECTOR_KEY)
     )
+    if not chunks.groupBy(*_VECTOR_KEY).count().filter("count > 1").isEmpty():
+        new = new.dropDuplicates(_VECTOR_KEY)
     before = stored(spark, path, new.schema)
     if before is not None:
         names = [r[0] for r in new.select("investigation_id").distinct().limit(4097).collect()]
