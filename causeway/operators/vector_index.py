@@ -29,6 +29,7 @@ from causeway.session import materialize
 from causeway.sources.tables import stored
 
 _KEY = ["investigation_id", "chunk_id"]
+_PAIR_BYTES = 1 << 25  # of vectors of questions, one for each list they read, in memory at once
 _CODES = (
     "investigation_id string, chunk_id string, doc_seq bigint, chunk_index bigint, embedding array<double>, "
     "code binary, radius float, list int"
@@ -210,7 +211,7 @@ def search_index(
     codes = spark.read.schema(_CODES).parquet(f"{path}/codes")
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _steps(batches, quantiser):
             products = _unit(batch["embedding"]) @ quantiser.centroids.T
             n = min(probes, products.shape[1])
             lists = np.argsort(-products, axis=1, kind="stable")[:, :n]
@@ -231,7 +232,7 @@ def search_index(
         radius[r.list] = r.radius
 
     def open_(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _steps(batches, quantiser):
             products = _unit(batch["embedding"]) @ quantiser.centroids.T
             n = min(probes, products.shape[1])
             seen = np.zeros(products.shape, dtype=bool)
@@ -245,6 +246,15 @@ def search_index(
     return _ranked(found.unionByName(_scanned(codes, rest, quantiser, k, exact, question_block, list_block)), k)
 
 
+def _steps(batches: Iterator[pd.DataFrame], quantiser: Quantiser) -> Iterator[pd.DataFrame]:
+    """Questions in steps so small that their rows for all lists stay within ``_PAIR_BYTES``."""
+    lists, dim = quantiser.centroids.shape
+    step = max(1, _PAIR_BYTES // (8 * dim * lists))
+    for batch in batches:
+        for at in range(0, len(batch), step):
+            yield batch.iloc[at : at + step]
+
+
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy(F.round("score", DIGITS).desc(), "doc_seq", "chunk_index")
     return (
