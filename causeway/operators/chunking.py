@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from causeway import fixed_values as fv
 from causeway.functions import text as tx
 
+_RUN = 64  # chunks of a document that are cut together
+
 
 def window_count(words: Column, size: int, step: int) -> Column:
     """Number of windows over ``words`` words; the last one reaches the end."""
@@ -61,16 +63,19 @@ def chunk_lines(
     orders the lines of a document: a line number, or one with gaps, as long as ``block``
     successive values hold many lines (a time stamp needs a larger ``block``). Word positions are a prefix sum in two levels: per
     block of ``block`` order values, then over the few block totals. Each line then
-    sends its words to the windows that hold them, so the largest group is one chunk.
+    sends its words to the runs of windows that hold them, so the largest group is one run
+    of ``_RUN`` chunks, which are cut from its words without a row for each line and chunk.
     """
     size, step = _settings(size, overlap)
     keys = list(keys)
+    words = tx.tokens(F.col(text))
     counted = lines.select(
         *keys,
         F.col(order).alias("line_order"),
         F.floor(F.col(order) / block).alias("block"),
-        tx.tokens(F.col(text)).alias("words"),
-    ).withColumn("n", F.size("words").cast("bigint"))
+        F.array_join(words, " ").alias("said"),
+        F.size(words).cast("bigint").alias("n"),
+    )
 
     per_document = Window.partitionBy(*keys)
     before = per_document.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -92,47 +97,49 @@ def chunk_lines(
         .join(blocks, [*keys, "block"])
         .filter(F.col("n") > 0)
         .select(
-            *keys, "words", "n", "total", (F.col("block_start") + F.col("in_block")).alias("at")
+            *keys, "said", "n", "total", (F.col("block_start") + F.col("in_block")).alias("at")
         )
     )
 
-    first = F.greatest(
-        F.lit(0).cast("bigint"), F.floor((F.col("at") - size) / F.lit(float(step))) + 1
-    )
+    run = _RUN * step  # words from the start of a run to that of the next
+    reach = (_RUN - 1) * step + size  # words of a run, with those that its last window shares
+    first = F.greatest(F.lit(0).cast("bigint"), F.floor((F.col("at") - reach) / F.lit(float(run))) + 1)
     last = F.least(
-        window_count(F.col("total"), size, step) - 1,
-        F.floor((F.col("at") + F.col("n") - 1) / F.lit(float(step))),
+        F.floor((window_count(F.col("total"), size, step) - 1) / F.lit(float(_RUN))),
+        F.floor((F.col("at") + F.col("n") - 1) / F.lit(float(run))),
+    )
+
+    start = F.greatest(F.col("run") * run - F.col("at"), F.lit(0).cast("bigint"))
+    stop = F.least(F.col("run") * run + reach - F.col("at"), F.col("n"))
+    cut = F.slice(F.split("said", " "), (start + 1).cast("int"), (stop - start).cast("int"))
+    whole = (start == 0) & (stop == F.col("n"))
+    pieces = placed.withColumn("run", F.explode(F.sequence(first, last))).select(
+        *keys,
+        "run",
+        "total",
+        (F.col("at") + start).alias("at"),
+        F.when(whole, F.col("said")).otherwise(F.array_join(cut, " ")).alias("said"),
+    )
+    joined = F.array_sort(F.collect_list(F.struct("at", "said")))
+    runs = pieces.groupBy(*keys, "run").agg(
+        F.split(F.array_join(F.transform(joined, lambda p: p["said"]), " "), " ").alias("words"),
+        F.max("total").alias("total"),
     )
 
-    def piece(i: Column) -> Column:
-        start = F.greatest(i * step - F.col("at"), F.lit(0).cast("bigint"))
-        stop = F.least(i * step + size - F.col("at"), F.col("n"))
+    def window(i: Column) -> Column:
+        at = (i - F.col("run") * _RUN) * step
         return F.struct(
             i.alias("chunk_index"),
-            (F.col("at") + start).alias("at"),
-            F.array_join(
-                F.slice("words", (start + 1).cast("int"), (stop - start).cast("int")), " "
-            ).alias("text"),
+            (i * step).alias("word_start"),
+            F.least(i * step + size, F.col("total")).alias("word_end"),
+            F.array_join(F.slice("words", (at + 1).cast("int"), size), " ").alias("text"),
         )
 
-    pieces = placed.select(
-        *keys, "total", F.explode(F.transform(F.sequence(first, last), piece)).alias("p")
-    ).select(*keys, "total", "p.*")
-    joined = F.array_sort(F.collect_list(F.struct("at", "text")))
-    return (
-        pieces.groupBy(*keys, "chunk_index")
-        .agg(
-            F.array_join(F.transform(joined, lambda p: p["text"]), " ").alias("text"),
-            F.max("total").alias("total"),
-        )
-        .select(
-            *keys,
-            "chunk_index",
-            (F.col("chunk_index") * step).alias("word_start"),
-            F.least(F.col("chunk_index") * step + size, F.col("total")).alias("word_end"),
-            "text",
-        )
+    windows = F.sequence(
+        F.col("run") * _RUN,
+        F.least(F.col("run") * _RUN + (_RUN - 1), window_count(F.col("total"), size, step) - 1),
     )
+    return runs.select(*keys, F.explode(F.transform(windows, window)).alias("c")).select(*keys, "c.*")
 
 
 def with_chunk_id(chunks: DataFrame) -> DataFrame:

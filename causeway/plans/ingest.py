@@ -17,10 +17,10 @@ class Knowledge(NamedTuple):
     """Everything ingest derives from a set of documents."""
 
     chunks: DataFrame
-    entity_mentions: DataFrame
-    relation_mentions: DataFrame
-    nodes: DataFrame
-    edges: DataFrame
+    entity_mentions: DataFrame | None
+    relation_mentions: DataFrame | None
+    nodes: DataFrame | None
+    edges: DataFrame | None
     ranks: DataFrame | None
 
 
@@ -83,6 +83,11 @@ def build_knowledge(
     return Knowledge(extracted.drop("entities", "relations"), entities, relations, nodes, edges, ranks)
 
 
+def vectors_only(chunks: DataFrame, embedder: Embedder) -> Knowledge:
+    """Chunks with their vectors and no graph, for uses of the vector search alone."""
+    return Knowledge(materialize(embed_documents(chunks, embedder)), None, None, None, None, None)
+
+
 def write_knowledge(knowledge: Knowledge, path: str) -> None:
     """Store the tables, each laid out by investigation."""
     for name, rows in knowledge._asdict().items():

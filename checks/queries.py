@@ -661,10 +661,10 @@ def edge_types_and_top_entities(spark, folder):
 
 def _searches(spark: SparkSession, folder: str) -> DataFrame:
     """Words of the log phrases and their first two letters."""
-    words = tx.tokens(F.regexp_replace(F.expr("substring(raw, 21)"), r"[:.]", ""))
+    said = il.incident_lines(spark, folder).selectExpr("investigation_id", "substring(raw, 21) AS said").distinct()
+    words = tx.tokens(F.regexp_replace("said", r"[:.]", ""))
     return (
-        il.incident_lines(spark, folder)
-        .select("investigation_id", F.explode(words).alias("word"))
+        said.select("investigation_id", F.explode(words).alias("word"))
         .select("investigation_id", F.explode(F.array("word", F.substring("word", 1, 2))).alias("text"))
         .distinct()
     )
@@ -985,13 +985,22 @@ def retrieved_document_chunks(spark, folder):
 
 
 class Case:
-    """Knowledge, questions and graph context shared by the queries below."""
+    """Knowledge, questions and graph context shared by the queries below.
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.knowledge = _knowledge(spark, folder)
+    A query that asks for the graph alone is spared the vectors, one that asks for hits alone
+    the extraction and the graph.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, vectors: bool = True, graph: bool = True):
+        self.embedder = em.hashed_embedder(DIM)
+        if graph:
+            self.knowledge = ingest.incident_knowledge(
+                spark, folder, self.embedder if vectors else None, ROUNDS, rank=True
+            )
+        else:
+            self.knowledge = ingest.vectors_only(ingest.incident_chunks(spark, folder), self.embedder)
         self.questions = retrieval.asked(il.incident_questions(spark, folder))
         self.documents = il.incident_documents(spark, folder)
-        self.embedder = em.hashed_embedder(DIM)
 
     def ranked(self) -> DataFrame:
         return self.knowledge.ranks
@@ -1011,7 +1020,7 @@ class Case:
 
 @query
 def keyword_matches(spark, folder):
-    case = Case(spark, folder)
+    case = Case(spark, folder, vectors=False)
     return retrieval.keyword_matches(case.questions, case.knowledge.nodes).select(
         "query_id", "name", "type"
     )
@@ -1020,7 +1029,7 @@ def keyword_matches(spark, folder):
 @query
 def indexed_keyword_matches(spark, folder):
     """The same, from the stored index of names."""
-    case = Case(spark, folder)
+    case = Case(spark, folder, vectors=False)
     path = _name_index(spark, case.knowledge.nodes)
     return name_index.keyword_matches(case.questions, path).select("query_id", "name", "type")
 
@@ -1028,7 +1037,7 @@ def indexed_keyword_matches(spark, folder):
 @query
 def matched_entities(spark, folder):
     """By keyword, or the central nodes: conversations ask about the incidents."""
-    case = Case(spark, folder)
+    case = Case(spark, folder, vectors=False)
     asked = tables.table(spark, folder, "conversations").select(
         F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"),
         F.concat(F.lit("inv-"), (F.col("conv_id") % il.INVESTIGATIONS).cast("string")).alias("investigation_id"),
@@ -1041,7 +1050,7 @@ def matched_entities(spark, folder):
 
 @query
 def service_entities(spark, folder):
-    case = Case(spark, folder)
+    case = Case(spark, folder, vectors=False)
     return (
         retrieval.keyword_matches(case.questions, case.knowledge.nodes)
         .filter(F.col("type") == "SERVICE")
@@ -1051,14 +1060,14 @@ def service_entities(spark, folder):
 
 @query
 def touching_relations(spark, folder):
-    case = Case(spark, folder)
+    case = Case(spark, folder, vectors=False)
     context = case.context(case.ranked())
     return context.relations.select("query_id", "source", "target", "type", "confidence")
 
 
 @query
 def question_paths(spark, folder):
-    case = Case(spark, folder)
+    case = Case(spark, folder, vectors=False)
     return retrieval.question_paths(case.context(case.ranked())).select(
         "query_id", "name", F.array_join("path", " -> ").alias("path")
     )
@@ -1083,7 +1092,7 @@ def hybrid_retrieval(spark, folder):
 
 @query
 def evidence(spark, folder):
-    case = Case(spark, folder)
+    case = Case(spark, folder, graph=False)
     return reasoning.evidence(case.hits(), case.documents).select(
         "query_id", "rank", "text", "source_document", "chunk_id", _score("relevance")
     )
@@ -1091,7 +1100,7 @@ def evidence(spark, folder):
 
 @query
 def longest_paths(spark, folder):
-    case = Case(spark, folder)
+    case = Case(spark, folder, vectors=False)
     context = case.context(case.ranked())
     return reasoning.best_paths(context.entities, context.found).select(
         "query_id", F.size("path").alias("length"), F.array_join("path", " -> ").alias("path")
@@ -1107,7 +1116,7 @@ def _flat_causes(causes: DataFrame) -> DataFrame:
 
 @query
 def root_causes(spark, folder):
-    case = Case(spark, folder)
+    case = Case(spark, folder, vectors=False)
     ranked = case.ranked()
     return _flat_causes(reasoning.root_causes(case.questions, case.context(ranked), ranked))
 
@@ -1128,7 +1137,7 @@ def root_causes_from_responses(spark, folder):
 
 @query
 def preferred_root_causes(spark, folder):
-    case = Case(spark, folder)
+    case = Case(spark, folder, vectors=False)
     ranked = case.ranked()
     own = reasoning.root_causes(case.questions, case.context(ranked), ranked)
     given = reasoning.root_causes_from_responses(_cause_responses(case.questions))
@@ -1137,7 +1146,7 @@ def preferred_root_causes(spark, folder):
 
 @query
 def timelines(spark, folder):
-    events = reasoning.timelines(Case(spark, folder).hits())
+    events = reasoning.timelines(Case(spark, folder, graph=False).hits())
     return events.select(
         "query_id", "order", "timestamp", "title", "description", "severity",
         F.array_join("source_chunk_ids", ",").alias("source_chunk_ids"),
@@ -1148,7 +1157,7 @@ def timelines(spark, folder):
 @query
 def dated_timelines(spark, folder):
     """Timelines in the order of parsed times."""
-    case = Case(spark, folder)
+    case = Case(spark, folder, graph=False)
     events = reasoning.timelines(case.hits(), event_times.chunk_times(case.knowledge.chunks))
     return events.select(
         "query_id", "order", "title", F.date_format("event_ts", "yyyy-MM-dd HH:mm:ss").alias("event_ts")
@@ -1183,7 +1192,7 @@ def timelines_from_responses(spark, folder):
 
 @query
 def preferred_timelines(spark, folder):
-    case = Case(spark, folder)
+    case = Case(spark, folder, graph=False)
     events = reasoning.prefer_timelines(
         reasoning.timelines_from_responses(_timeline_responses(case.questions)),
         reasoning.timelines(case.hits()),
@@ -1196,7 +1205,7 @@ def preferred_timelines(spark, folder):
 
 @query
 def troubled_titles(spark, folder):
-    return reasoning.troubled_titles(reasoning.timelines(Case(spark, folder).hits()))
+    return reasoning.troubled_titles(reasoning.timelines(Case(spark, folder, graph=False).hits()))
 
 
 def _flat_reports(reports: DataFrame) -> DataFrame:
@@ -1318,7 +1327,7 @@ def root_cause_prompts(spark, folder):
 
 @query
 def timeline_prompts(spark, folder):
-    return prompts.timeline_prompts(Case(spark, folder).hits())
+    return prompts.timeline_prompts(Case(spark, folder, graph=False).hits())
 
 
 @query
