@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from causeway.operators import dictionary
 from causeway.operators.dictionary import Automaton, dictionary_matches
 
 
@@ -50,3 +51,26 @@ def test_no_words_and_no_texts(spark):
 def test_arrays_are_flat_and_small():
     automaton = Automaton([f"{i}word" for i in range(1000)])
     assert automaton.next.dtype == np.int32 and automaton.nbytes < 4 << 20
+
+
+def test_texts_are_read_once_for_many_parts(spark, monkeypatch):
+    words = [f"{a}{b}{c}word" for a in "abcde" for b in "fghij" for c in "klmno"]
+    rows = [(i, f"{w} and {w}s") for i, w in enumerate(words)]
+    texts = spark.createDataFrame(rows, "id int, text string")
+    dictionary_words = spark.createDataFrame([(w,) for w in words], "word string")
+    for most, passes in ((64 << 20, 1), (16_000, 1), (16_000, 2)):
+        if passes > 1:  # two parts in a pass
+            monkeypatch.setattr(dictionary, "_PASS_BYTES", 2 * (most + dictionary._CLASS_BYTES))
+        found = dictionary_matches(texts, dictionary_words, most_bytes=most)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert (plan.count("MapInArrow") > 1) == (passes > 1)
+        assert _got(found) == _brute(rows, words)
+
+
+def test_neighbours_share_states_within_the_limit():
+    rnd = random.Random(6)
+    words = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 9))) for _ in range(900)} | {"c" * 70})
+    groups = dictionary._grouped(words, 60)
+    assert [w for g in groups for w in g] == words
+    assert all(len(Automaton(g).next) <= 60 or len(g) == 1 for g in groups)
+    assert len(groups) < sum(map(len, words)) / 60 / 1.5
