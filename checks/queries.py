@@ -999,7 +999,7 @@ class Case:
             )
         else:
             self.knowledge = ingest.vectors_only(ingest.incident_chunks(spark, folder), self.embedder)
-        self.questions = retrieval.asked(il.incident_questions(spark, folder))
+        self.questions = materialize(retrieval.asked(il.incident_questions(spark, folder)))
         self.documents = il.incident_documents(spark, folder)
 
     def ranked(self) -> DataFrame:
@@ -1007,7 +1007,8 @@ class Case:
 
     def context(self, ranked: DataFrame) -> retrieval.GraphContext:
         k = self.knowledge
-        return retrieval.graph_context(self.questions, k.nodes, k.edges, ranked)
+        context = retrieval.graph_context(self.questions, k.nodes, k.edges, ranked)
+        return context._replace(found=materialize(context.found))
 
     def hits(self) -> DataFrame:
         return materialize(vector_search.retrieve(self.knowledge.chunks, self.questions, self.embedder))

@@ -58,3 +58,10 @@ def test_lines_longer_than_a_run_of_chunks(spark, monkeypatch, run, size, overla
     )
     fields = ["document_id", "chunk_index", "word_start", "word_end", "text"]
     assert sorted(map(tuple, got.select(fields).collect())) == sorted(map(tuple, whole.select(fields).collect()))
+
+
+@needs_tables
+def test_questions_are_read_from_the_events_once(spark, monkeypatch):
+    monkeypatch.setattr(ingest, "incident_knowledge", lambda *a, **k: None)
+    plan = queries.Case(spark, FOLDER, vectors=False).questions._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
