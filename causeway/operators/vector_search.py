@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from causeway import fixed_values as fv
-from causeway.functions.embedding import Embedder, embed_questions
+from causeway.functions.embedding import Embedder, embed_documents, embed_questions
+from causeway.session import materialize
 
 #: Scores are compared to this many digits, so equal texts tie and position decides.
 DIGITS = 9
@@ -22,7 +23,9 @@ _FOUND_ARROW = pa.schema(
 )
 _BLOCKS = 4  # blocks of either side of an investigation, as long as they are small enough
 _BLOCK_BYTES = 1 << 25  # of the vectors in a larger block, at most
-_SCORES = 1 << 21  # scores in memory at once
+_SCORES = 1 << 19  # scores in memory at once
+_GROUP = 16  # rows whose best score stands for them
+_DENSE = 0.25  # of all groups; beyond it scoring all pairs is cheaper than picking some
 _ANY = 4096  # investigations named in a filter; more are met by a join
 
 
@@ -45,23 +48,75 @@ def _matrix(embedded: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return values.reshape(len(embedded), -1)
 
 
+def _near(
+    rows: np.ndarray, asked: np.ndarray, k: int, error: float
+) -> tuple[np.ndarray, np.ndarray] | None:
+    """Pairs ``(query, row)`` that hold the best ``k`` rows of each query and few others.
+
+    ``rows`` and ``asked`` are of length 1 (or 0) in single precision, which errs by less than half of
+    ``error``. The best of each group of rows are known from one pass; the ``k``-th best of
+    them is no better than the ``k``-th best row, so groups below it need no second look. None
+    if there are too many pairs, as rows are equal.
+    """
+    scores = asked @ rows.T
+    groups = len(rows) // _GROUP
+    grouped = scores[:, : groups * _GROUP].reshape(len(scores), _GROUP, groups)
+    best = grouped.max(axis=1)
+    limit = np.partition(best, groups - k, axis=1)[:, groups - k] - np.float32(error)
+    query, group = np.nonzero(best >= limit[:, None])
+    if len(query) > _DENSE * scores.size / _GROUP:
+        return None
+    pair, place = np.nonzero(grouped[query, :, group] >= limit[query, None])
+    rest, left = np.nonzero(scores[:, groups * _GROUP :] >= limit[:, None])
+    return (
+        np.concatenate([query[pair], rest]),
+        np.concatenate([place * groups + group[pair], left + groups * _GROUP]),
+    )
+
+
+def _units(vectors: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    return (vectors / np.where(lengths == 0, 1.0, lengths)[:, None]).astype("float32")
+
+
 def _best(chunks: pd.DataFrame, vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
     """Best ``k`` chunks of one investigation for each query; position settles ties.
 
-    All queries are ranked at once: one partition of the score matrix finds each query's
-    limit, and one sort orders what reaches it.
+    Many queries are ranked at once. Of many chunks, a pass in single precision leaves those that
+    may be among the best, which alone are scored in full; else one partition of the score
+    matrix finds each query's limit. One sort orders what reaches it.
     """
-    lengths = np.outer(np.linalg.norm(queries, axis=1), np.linalg.norm(vectors, axis=1))
-    scores = (queries @ vectors.T) / np.where(lengths == 0, 1e-9, lengths)
-    compared = np.round(scores, DIGITS)
     doc_seq, chunk_index = chunks["doc_seq"].to_numpy(), chunks["chunk_index"].to_numpy()
-    n = compared.shape[1]
-    limit = np.partition(compared, n - k, axis=1)[:, n - k] if n > k else np.full(len(ids), -np.inf)
-    query, row = np.nonzero(compared >= limit[:, None])
-    order = np.lexsort((chunk_index[row], doc_seq[row], -compared[query, row], query))
-    query, row = query[order], row[order]
-    place = np.arange(len(query)) - np.searchsorted(query, query)
-    query, row = query[place < k], row[place < k]
+    of_row, of_query = np.linalg.norm(vectors, axis=1), np.linalg.norm(queries, axis=1)
+    n, lengths = len(vectors), np.concatenate([of_row, of_query])
+    usual = np.isfinite(lengths).all() and not ((lengths > 0) & (lengths < 1e-100)).any()
+    many = usual and n // _GROUP >= 16 * k
+    if many:
+        used = vectors.any(axis=0)  # a component that no chunk has adds nothing to a product
+        vectors, queries = vectors[:, used], queries[:, used]
+        rows, asked = _units(vectors, of_row), _units(queries, of_query)
+        error = (vectors.shape[1] + 8) * 2.0**-22 + 10.0**-DIGITS
+    step = max(1, _SCORES // n)
+    found = []
+    for at in range(0, len(ids), step):
+        part, to = queries[at : at + step], of_query[at : at + step]
+        near = _near(rows, asked[at : at + step], k, error) if many else None
+        if near is None:
+            lengths = np.outer(to, of_row)
+            scores = (part @ vectors.T) / np.where(lengths == 0, 1e-9, lengths)
+            compared = np.round(scores, DIGITS)
+            limit = np.partition(compared, n - k, axis=1)[:, n - k] if n > k else np.full(len(to), -np.inf)
+            query, row = np.nonzero(compared >= limit[:, None])
+            scores, compared = scores[query, row], compared[query, row]
+        else:
+            query, row = near
+            lengths = to[query] * of_row[row]
+            scores = np.einsum("ij,ij->i", part[query], vectors[row]) / np.where(lengths == 0, 1e-9, lengths)
+            compared = np.round(scores, DIGITS)
+        order = np.lexsort((chunk_index[row], doc_seq[row], -compared, query))
+        query, row, scores = query[order], row[order], scores[order]
+        first = np.arange(len(query)) - np.searchsorted(query, query) < k
+        found.append((query[first] + at, row[first], scores[first]))
+    query, row, scores = (np.concatenate(c) for c in zip(*found))
     return pd.DataFrame(
         {
             "query_id": np.asarray(ids, dtype=object)[query],
@@ -69,7 +124,7 @@ def _best(chunks: pd.DataFrame, vectors: np.ndarray, ids: np.ndarray, queries: n
             "chunk_id": chunks["chunk_id"].to_numpy()[row],
             "doc_seq": doc_seq[row],
             "chunk_index": chunk_index[row],
-            "score": scores[query, row],
+            "score": scores,
         }
     )
 
@@ -150,12 +205,7 @@ def _search_many(
             return _FOUND_ARROW.empty_table()
         ids, queries = q.column("query_id").to_numpy(), _matrix(q.column("embedding"))
         rows, vectors = chunks.drop_columns(["embedding"]).to_pandas(), _matrix(chunks.column("embedding"))
-        step = max(1, _SCORES // len(rows))
-        found = pd.concat(
-            _best(rows, vectors, ids[at : at + step], queries[at : at + step], k)
-            for at in range(0, len(ids), step)
-        )
-        return pa.Table.from_pandas(found, _FOUND_ARROW, preserve_index=False)
+        return pa.Table.from_pandas(_best(rows, vectors, ids, queries, k), _FOUND_ARROW, preserve_index=False)
 
     cell = ["investigation_id", "qb", "cb"]
     return (
@@ -196,6 +246,7 @@ def search(
     few: int = 2048,
     chunk_block: int = 8192,
     query_block: int = 1024,
+    stored: bool = True,
 ) -> DataFrame:
     """Best ``k`` chunks of its own investigation for each question.
 
@@ -205,7 +256,8 @@ def search(
     investigation. Rows without a vector are ignored. Up to ``few`` questions are
     broadcast, which is checked; more of them meet the chunks in blocks, of ``chunk_block`` and
     ``query_block`` rows at least. Either way only
-    the best ``k`` of a partition or block leave it.
+    the best ``k`` of a partition or block leave it. Vectors that are not ``stored``, but made as
+    they are read, are written once before they meet in blocks.
     """
     k = fv.TOP_K if k is None else k
     usable = F.col("embedding").isNotNull() & (F.size("embedding") > 0)
@@ -217,6 +269,7 @@ def search(
     if len(first) <= few:
         found = _search_few(vectors, first, k)
     else:
+        vectors = vectors if stored else materialize(vectors)
         found = _search_many(vectors, questions, k, chunk_block, query_block)
     best = Window.partitionBy("query_id").orderBy(
         F.round("score", DIGITS).desc(), "doc_seq", "chunk_index"
@@ -237,7 +290,13 @@ def with_text(found: DataFrame, chunks: DataFrame) -> DataFrame:
 def retrieve(
     chunks: DataFrame, questions: DataFrame, embedder: Embedder, k: int | None = None
 ) -> DataFrame:
-    """Embed the questions and return the hits of each with their text."""
+    """Embed the questions and return the hits of each with their text.
+
+    Chunks without vectors are embedded on their way into the search; what is searched more
+    than once had better be stored with them.
+    """
     chunks = in_scope(chunks, questions)
-    found = search(chunks, embed_questions(questions, embedder), k)
+    stored = "embedding" in chunks.columns
+    vectors = chunks if stored else embed_documents(chunks, embedder)
+    found = search(vectors, embed_questions(questions, embedder), k, stored=stored)
     return with_text(found, chunks)
