@@ -7,6 +7,7 @@ from pyspark.sql import Column, functions as F
 from causeway import fixed_values as fv
 
 _EDGE_SPACE = rf"(?U)^{fv.SPACE}+|{fv.SPACE}+$"
+_ODD_SPACE = rf"(?U)[{fv.SPACE}&&[^ ]]|  "  # white space that is not one plain space
 _CASED = r"\p{IsLowercase}\p{IsUppercase}\p{Lt}"
 _WORD_MARK = "\u0001 "
 
@@ -16,6 +17,18 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(text, rf"(?U){fv.SPACE}+"), "")
 
 
+def spaced(text: Column) -> Column:
+    """The words of ``tokens`` with one space between them, without an array of them."""
+    odd = F.rlike(text, F.lit(_ODD_SPACE))
+    return F.trim(F.when(odd, F.regexp_replace(text, rf"(?U){fv.SPACE}+", " ")).otherwise(text))
+
+
+def spaced_words(said: Column) -> Column:
+    """Number of words in a text with one space between them."""
+    spaces = F.octet_length(said) - F.octet_length(F.replace(said, F.lit(" "), F.lit("")))
+    return F.when(said == "", 0).otherwise(spaces + 1).cast("bigint")
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, _EDGE_SPACE, "")
 

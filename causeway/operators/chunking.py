@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from causeway import fixed_values as fv
 from causeway.functions import text as tx
+from causeway.session import materialize
 
 _RUN = 64  # chunks of a document that are cut together
 
@@ -65,16 +66,17 @@ def chunk_lines(
     block of ``block`` order values, then over the few block totals. Each line then
     sends its words to the runs of windows that hold them, so the largest group is one run
     of ``_RUN`` chunks, which are cut from its words without a row for each line and chunk.
+    The words of the lines are written once, as both levels read them.
     """
     size, step = _settings(size, overlap)
     keys = list(keys)
-    words = tx.tokens(F.col(text))
-    counted = lines.select(
-        *keys,
-        F.col(order).alias("line_order"),
-        F.floor(F.col(order) / block).alias("block"),
-        F.array_join(words, " ").alias("said"),
-        F.size(words).cast("bigint").alias("n"),
+    counted = materialize(
+        lines.select(
+            *keys,
+            F.col(order).alias("line_order"),
+            F.floor(F.col(order) / block).alias("block"),
+            tx.spaced(F.col(text)).alias("said"),
+        ).withColumn("n", tx.spaced_words(F.col("said")))
     )
 
     per_document = Window.partitionBy(*keys)

@@ -26,6 +26,7 @@ _BLOCK_BYTES = 1 << 25  # of the vectors in a larger block, at most
 _SCORES = 1 << 19  # scores in memory at once
 _GROUP = 16  # rows whose best score stands for them
 _DENSE = 0.25  # of all groups; beyond it scoring all pairs is cheaper than picking some
+_BROADCAST = 100_000  # hits that go to the chunks for their text; more of them meet by a shuffle
 _ANY = 4096  # investigations named in a filter; more are met by a join
 
 
@@ -266,7 +267,8 @@ def search(
     ).filter(usable)
     questions = questions.select("query_id", "investigation_id", "embedding").filter(usable)
     first = questions.limit(few + 1).collect()
-    if len(first) <= few:
+    is_few = len(first) <= few
+    if is_few:
         found = _search_few(vectors, first, k)
     else:
         vectors = vectors if stored else materialize(vectors)
@@ -274,11 +276,12 @@ def search(
     best = Window.partitionBy("query_id").orderBy(
         F.round("score", DIGITS).desc(), "doc_seq", "chunk_index"
     )
-    return (
+    ranked = (
         found.withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= k)
         .select("query_id", "investigation_id", "chunk_id", "score", "rank")
     )
+    return F.broadcast(ranked) if is_few and len(first) * k <= _BROADCAST else ranked
 
 
 def with_text(found: DataFrame, chunks: DataFrame) -> DataFrame:

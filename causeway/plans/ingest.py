@@ -88,6 +88,11 @@ def vectors_only(chunks: DataFrame, embedder: Embedder) -> Knowledge:
     return Knowledge(materialize(embed_documents(chunks, embedder)), None, None, None, None, None)
 
 
+def chunks_only(chunks: DataFrame) -> Knowledge:
+    """Chunks alone, for one search that embeds them as it reads them."""
+    return Knowledge(materialize(chunks), None, None, None, None, None)
+
+
 def write_knowledge(knowledge: Knowledge, path: str) -> None:
     """Store the tables, each laid out by investigation."""
     for name, rows in knowledge._asdict().items():

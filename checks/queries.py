@@ -970,7 +970,7 @@ def retrieved_chunks(spark, folder):
 def retrieved_document_chunks(spark, folder):
     """Benchmark items as questions to every source of the documents."""
     embedder = em.hashed_embedder(DIM)
-    chunks = materialize(em.embed_documents(ingest.document_chunks(spark, folder), embedder))
+    chunks = materialize(ingest.document_chunks(spark, folder))
     sources = _documents(spark, folder).select("source").distinct()
     items = tables.table(spark, folder, "benchmark")
     source = F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string"))
@@ -998,7 +998,7 @@ class Case:
                 spark, folder, self.embedder if vectors else None, ROUNDS, rank=True
             )
         else:
-            self.knowledge = ingest.vectors_only(ingest.incident_chunks(spark, folder), self.embedder)
+            self.knowledge = ingest.chunks_only(ingest.incident_chunks(spark, folder))
         self.questions = materialize(retrieval.asked(il.incident_questions(spark, folder)))
         self.documents = il.incident_documents(spark, folder)
 
