@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 from causeway import fixed_values as fv
@@ -25,19 +26,20 @@ def hashed_embedder(dim: int = fv.EMBEDDING_DIM) -> Embedder:
     """Word counts hashed into ``dim`` buckets, scaled to length 1.
 
     The deterministic default, for use without a model. A word is a run of letters and
-    digits; its bucket is the first eight hex digits of its MD5, modulo ``dim``. Words are cut
-    by the built-in expression; a batch's distinct words are hashed once and its counts
+    digits; its bucket is the first eight hex digits of its MD5, modulo ``dim``. The words
+    cross to Python as one text, with a space between them; a batch's distinct words are hashed once and its counts
     summed in one array.
     """
 
     @F.arrow_udf("array<double>")
-    def vectors(words: pa.Array) -> pa.Array:
-        return _hashed(words, dim)
+    def vectors(said: pa.Array) -> pa.Array:
+        return _hashed(pc.split_pattern(said, " "), dim)
 
     once = vectors.asNondeterministic()
 
     def embed(text: Column) -> Column:
-        return once(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+        words = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+        return once(F.nullif(words, F.lit("")))
 
     return embed
 
@@ -48,7 +50,7 @@ def _hashed(words: pa.Array, dim: int) -> pa.Array:
     of_row = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     spelled = words.flatten().dictionary_encode()
     distinct = spelled.dictionary.cast(pa.binary()).to_pylist()
-    bucket = np.array([int(hashlib.md5(w).hexdigest()[:8], 16) % dim for w in distinct], "int64")
+    bucket = np.array([int.from_bytes(hashlib.md5(w).digest()[:4], "big") % dim for w in distinct], "int64")
     hits = bucket[spelled.indices.to_numpy(zero_copy_only=False)]
     ends = np.concatenate([[0], np.cumsum(of_row)]).astype("int64")
     weights = np.empty((rows, dim))
