@@ -37,6 +37,7 @@ STATUSES = ["PENDING", "PROCESSING", "COMPLETED", "FAILED"]
 # \x1c-\x1f count as white space, which (?U)\s alone does not include.
 SPACE = r"[\s\x1c-\x1f]"
 CONNECTORS = r"(?:caused|leads? to|led to|resulted in|triggered)"
+CONNECTOR_WORDS = ["caused", "lead to", "leads to", "led to", "resulted in", "triggered"]
 CAUSAL = (
     r"(?iU)([\w\s\x1c-\x1f\-]{3,40}?)" + SPACE + "+" + CONNECTORS + SPACE + "+"
     r"([\w\s\x1c-\x1f\-]{3,40})"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from causeway import fixed_values as fv
@@ -47,11 +50,21 @@ def dictionary_hits(chunks: DataFrame, word_boundary: bool = False) -> DataFrame
     )
 
 
+def may_connect(text: Column, lower: Column) -> Column:
+    """Whether a text may hold a connector, without a pattern.
+
+    Besides texts with one in lower case this takes those with a letter outside ASCII that
+    counts as ``i`` or ``s`` where case is ignored.
+    """
+    parts = [F.contains(lower, F.lit(word)) for word in fv.CONNECTOR_WORDS]
+    return reduce(or_, [*parts, *[F.contains(text, F.lit(letter)) for letter in "\u0130\u0131\u017f"]])
+
+
 def causal_pairs(text: Column, connected: Column) -> Column:
     """``cause - connector - effect`` phrases, left to right without overlap.
 
     A match holds a connector and no punctuation but hyphens and underscores. So, of a chunk
-    with a connector word (``connected``), the costly pattern scans only the runs between
+    that may have a connector word (``connected``), the costly pattern scans only the runs between
     punctuation that hold one. Cause and effect are then read from each short match.
     """
     runs = F.filter(
@@ -82,9 +95,12 @@ def heuristic_extraction(chunks: DataFrame, word_boundary: bool = False) -> Data
     words, then both ends of every causal phrase. One causal phrase in a chunk replaces
     the links between neighbouring entities.
     """
-    found = chunks.withColumns(
-        {"lower": F.lower("text"), "connected": F.col("text").rlike("(?iU)" + fv.CONNECTORS)}
-    ).withColumn("slots", dictionary_slots(F.col("lower"), word_boundary))
+    found = chunks.withColumn("lower", F.lower("text")).withColumns(
+        {
+            "connected": may_connect(F.col("text"), F.col("lower")),
+            "slots": dictionary_slots(F.col("lower"), word_boundary),
+        }
+    )
     found = found.withColumns(
         {
             "hits": F.array_compact("slots"),
