@@ -17,6 +17,10 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(text, rf"(?U){fv.SPACE}+"), "")
 
 
+def has_words(text: Column) -> Column:
+    return F.rlike(text, F.lit(rf"(?U)[^{fv.SPACE}]"))
+
+
 def spaced(text: Column) -> Column:
     """The words of ``tokens`` with one space between them, without an array of them."""
     odd = F.rlike(text, F.lit(_ODD_SPACE))

@@ -23,29 +23,35 @@ def _settings(size: int | None, overlap: int | None) -> tuple[int, int]:
     return size, max(size - overlap, 1)
 
 
-def chunk_texts(
-    texts: DataFrame, *keys: str, size: int | None = None, overlap: int | None = None
-) -> DataFrame:
-    """Chunks of every ``text``, without a shuffle.
+def windows(words: Column, size: int | None = None, overlap: int | None = None, start: Column | None = None) -> Column:
+    """The chunks, from number ``start`` on, of a text given as its words; null without any.
 
-    The windows are cut inside one expression, so the word list of a document is not
-    copied once per chunk.
+    They are cut inside one expression, so the word list is not copied once per chunk.
     """
     size, step = _settings(size, overlap)
-    split = texts.select(*keys, tx.tokens(F.col("text")).alias("words"))
-    n = F.size("words")
-    numbers = F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), window_count(n, size, step) - 1))
-    cut = F.transform(
+    start = F.lit(0).cast("bigint") if start is None else start
+    n = F.size(words)
+    last = window_count(n, size, step) - 1
+    numbers = F.when((n > 0) & (start <= last), F.sequence(start, last))
+    return F.transform(
         numbers,
         lambda i: F.struct(
             i.alias("chunk_index"),
             (i * step).alias("word_start"),
             F.least(i * step + size, n.cast("bigint")).alias("word_end"),
             F.array_join(
-                F.slice("words", (i * step + 1).cast("int"), size), " "
+                F.slice(words, (i * step + 1).cast("int"), size), " "
             ).alias("text"),
         ),
     )
+
+
+def chunk_texts(
+    texts: DataFrame, *keys: str, size: int | None = None, overlap: int | None = None
+) -> DataFrame:
+    """Chunks of every ``text``, without a shuffle."""
+    split = texts.select(*keys, tx.tokens(F.col("text")).alias("words"))
+    cut = windows(F.col("words"), size, overlap)
     return split.select(*keys, F.explode(cut).alias("c")).select(*keys, "c.*")
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import or_
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from causeway import fixed_values as fv
@@ -15,6 +18,9 @@ _ENTITIES = "array<struct<name:string,type:string>>"
 _RELATIONS = "array<struct<source:string,target:string,type:string,confidence:double>>"
 _PAIRS = "array<struct<source:string,target:string>>"
 
+# Lower case of letters outside ASCII that count as ``i`` or ``s`` where case is ignored.
+_ODD_LETTERS = ["\u0131", "i\u0307", "\u017f"]
+
 DICTIONARY = [*fv.COMPONENTS, *[(word, "ERROR") for word in fv.ERRORS]]
 
 
@@ -50,14 +56,25 @@ def dictionary_hits(chunks: DataFrame, word_boundary: bool = False) -> DataFrame
     )
 
 
-def may_connect(text: Column, lower: Column) -> Column:
-    """Whether a text may hold a connector, without a pattern.
+def may_connect(lower: Column) -> Column:
+    """Whether a text in lower case may hold a connector, without a pattern."""
+    return reduce(or_, [F.contains(lower, F.lit(word)) for word in [*fv.CONNECTOR_WORDS, *_ODD_LETTERS]])
+
+
+def may_mention(lower: Column) -> Column:
+    """Whether chunks of a text in lower case may hold a word of the dictionary or a connector.
 
-    Besides texts with one in lower case this takes those with a letter outside ASCII that
-    counts as ``i`` or ``s`` where case is ignored.
+    One automaton reads batches of texts once, where each word costs a pass over them. Words
+    of a chunk have one space between them, those of a text any white space.
     """
-    parts = [F.contains(lower, F.lit(word)) for word in fv.CONNECTOR_WORDS]
-    return reduce(or_, [*parts, *[F.contains(text, F.lit(letter)) for letter in "\u0130\u0131\u017f"]])
+    words = [*[word for word, _ in DICTIONARY], *fv.CONNECTOR_WORDS, *_ODD_LETTERS]
+    pattern = "|".join(r"[\t-\r\x1c-\x1f\x{85}\pZ]+".join(map(re.escape, word.split(" "))) for word in words)
+
+    @F.arrow_udf("boolean")
+    def found(texts: pa.Array) -> pa.Array:
+        return pc.match_substring_regex(texts, pattern)
+
+    return found(lower)
 
 
 def causal_pairs(text: Column, connected: Column) -> Column:
@@ -97,7 +114,7 @@ def heuristic_extraction(chunks: DataFrame, word_boundary: bool = False) -> Data
     """
     found = chunks.withColumn("lower", F.lower("text")).withColumns(
         {
-            "connected": may_connect(F.col("text"), F.col("lower")),
+            "connected": may_connect(F.col("lower")),
             "slots": dictionary_slots(F.col("lower"), word_boundary),
         }
     )

@@ -1,5 +1,6 @@
 """State of the live graph in parts: many documents share a group, a node's documents have several."""
 
+import itertools
 import json
 import random
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import Row, functions as F
 
 from causeway import fixed_values as fv
-from causeway.operators import extraction
+from causeway.operators import chunking, extraction
 from causeway.streaming import ingest, live_graph
 from tests.test_live_graph import _graph
 
@@ -99,7 +100,7 @@ def few(spark):
     spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
-def test_a_node_of_many_documents_is_many_groups_and_repeats_go_unsearched(few, tmp_path):
+def test_a_node_of_many_documents_is_many_groups(few, tmp_path):
     root = str(tmp_path)
     rows = [("i", f"d{i}", i, f"redis timeout {i}") for i in range(300)]
     newer = [("i", f"d{i}", 1000 + i, "payment" if i % 2 else "redis") for i in range(0, 300, 3)]
@@ -108,11 +109,7 @@ def test_a_node_of_many_documents_is_many_groups_and_repeats_go_unsearched(few,
         few.createDataFrame(part, ingest.ARRIVING).coalesce(1).write.mode("append").parquet(f"{root}/in")
         sent += part
         documents = ingest.read_documents(few, f"{root}/in")
-        versions = live_graph.start_versions(documents, f"{root}/chunks", f"{root}/c1", once=True)
-        versions.awaitTermination()
-        if part is rows and len(sent) > len(rows):
-            dropped = [s["customMetrics"].get("numDroppedDuplicateRows") for p in versions.recentProgress for s in p["stateOperators"]]
-            assert 300 in dropped
+        live_graph.start_versions(documents, f"{root}/chunks", f"{root}/c1", once=True).awaitTermination()
         form = few.read.parquet(f"{root}/chunks").schema
         chunks = few.readStream.schema(form).parquet(f"{root}/chunks")
         live_graph.start_graph(chunks, f"{root}/graph", f"{root}/c2", once=True).awaitTermination()
@@ -122,24 +119,49 @@ def test_a_node_of_many_documents_is_many_groups_and_repeats_go_unsearched(few,
     redis = state.filter("key.kind = 'n' AND key.a = 'Redis'")
     assert redis.select("key.part").distinct().count() == live_graph._MENTION_PARTS
     assert redis.count() < 300 / 4  # rows of state for 300 documents
+    seen = few.read.format("statestore").option("stateVarName", "seen").load(f"{root}/c1")
+    assert seen.selectExpr("sum(size(from_json(user_map_value.entries, 'map<string,string>')))").head()[0] == 300
 
 
-def test_texts_of_one_version_that_differ_are_no_repeats(few, tmp_path):
-    rows = [("i", "d", 1, "redis"), ("i", "d", 1, "redis " + "calm " * 6 + "kafka"), (None, "e", 2, "redis"), (None, "e", 2, "redis")]
-    few.createDataFrame(rows, ingest.ARRIVING).coalesce(1).write.parquet(f"{tmp_path}/in")
+def test_texts_of_one_version_that_differ_give_each_chunk_once(few, tmp_path):
+    words = ["calm", "still", "redis"]
+    texts = [" ".join(words[: 2 + speaks] * n) for n in (1, 5, 9) for speaks in (0, 1)]
+    rows = [("i", f"d{a}-{b}", 1, texts[x]) for a, b in itertools.product(range(6), repeat=2) for x in (a, b)]
+    rows += [(None, "e", 2, "calm"), (None, "e", 2, "calm"), ("i", "blank", 1, " \n"), ("i", "null", 1, None)]
+    few.createDataFrame(rows, ingest.ARRIVING).repartition(3).write.parquet(f"{tmp_path}/in")
     documents = ingest.read_documents(few, f"{tmp_path}/in")
-    live_graph.start_versions(documents, f"{tmp_path}/chunks", f"{tmp_path}/c", 6, 0, once=True).awaitTermination()
-    chunks = few.read.parquet(f"{tmp_path}/chunks").select("investigation_id", "chunk_id").collect()
-    assert sorted(map(repr, chunks)) == sorted(map(repr, [
-        Row(investigation_id="i", chunk_id="d:0"), Row(investigation_id="i", chunk_id="d:1"), Row(investigation_id=None, chunk_id="e:0"),
-    ]))
+    live_graph.start_versions(documents, f"{tmp_path}/chunks", f"{tmp_path}/c", 6, 2, once=True).awaitTermination()
+    got = few.read.parquet(f"{tmp_path}/chunks")
+    one = ingest.extracted(few.createDataFrame(rows, ingest.ARRIVING), 6, 2)
+    assert got.schema.simpleString() == one.schema.simpleString()
+    chunks = [repr(r) for r in got.collect()]
+    assert set(chunks) <= {repr(r) for r in one.collect()}
+    ids = ["investigation_id", "chunk_id"]
+    assert sorted(map(repr, got.select(*ids).collect())) == sorted(map(repr, one.select(*ids).distinct().collect()))
 
 
 def test_texts_that_may_connect_hold_all_that_do(spark):
     words = ["caused", "LEADS TO", "Lead to", "led to", "reſulted in", "RESULTED İN", "resulted ın", "TRİGGERED", "calm", "lead  to"]
     texts = [(f"redis down {w} payment failure",) for w in words] + [(None,), ("",)]
     found = spark.createDataFrame(texts, "text string").withColumn("lower", F.lower("text")).select(
-        "text", F.col("text").rlike("(?iU)" + fv.CONNECTORS).alias("does"), extraction.may_connect(F.col("text"), F.col("lower")).alias("may")
+        "text", F.col("text").rlike("(?iU)" + fv.CONNECTORS).alias("does"), extraction.may_connect(F.col("lower")).alias("may"),
+        extraction.may_mention(F.col("lower")).alias("mentions"),
     ).collect()
     assert all(r.may for r in found if r.does) and sum(bool(r.does) for r in found) == 8
     assert [r.text for r in found if r.may and not r.does] == []
+    assert [r.text for r in found if not r.mentions] == [None, ""]
+
+
+def test_texts_whose_chunks_mention_something_may(spark):
+    rnd = random.Random(6)
+    words = [w for w, _ in extraction.DICTIONARY] + ["Redis", "TİMEOUT", "APİ", "caused", "LED TO", "reſulted in"] + ["calm"] * 60
+    gaps = [" ", "  ", "\n", "\u2028", "\x1c", "\u3000", "\x85 "]
+    rows = []
+    for i in range(400):
+        said = " ".join(rnd.choice(words) for _ in range(3 if i % 2 else 12))
+        rows.append((str(i), "".join(rnd.choice(gaps) if c == " " else c for c in said) if i else None))
+    texts = spark.createDataFrame(rows, "id string, text string").withColumn("mentions", extraction.may_mention(F.lower("text")))
+    chunks = chunking.with_chunk_id(chunking.chunk_texts(texts, "id", "mentions", size=400).withColumn("document_id", F.col("id")))
+    found = extraction.heuristic_extraction(chunks).select("mentions", F.size("entities").alias("n")).collect()
+    assert all(r.mentions for r in found if r.n) and sum(r.n > 0 for r in found) > 300
+    assert sum(not r.mentions for r in found) == sum(r.n == 0 and not r.mentions for r in found) > 10
