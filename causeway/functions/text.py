@@ -18,7 +18,8 @@ def tokens(text: Column) -> Column:
 
 
 def has_words(text: Column) -> Column:
-    return F.rlike(text, F.lit(rf"(?U)[^{fv.SPACE}]"))
+    """Whether there is more than white space; of most texts only the start is read."""
+    return F.substring(text, 1, 64).rlike(rf"(?U)[^{fv.SPACE}]") | F.rlike(text, F.lit(rf"(?U)[^{fv.SPACE}]"))
 
 
 def spaced(text: Column) -> Column:

@@ -61,20 +61,22 @@ def may_connect(lower: Column) -> Column:
     return reduce(or_, [F.contains(lower, F.lit(word)) for word in [*fv.CONNECTOR_WORDS, *_ODD_LETTERS]])
 
 
-def may_mention(lower: Column) -> Column:
-    """Whether chunks of a text in lower case may hold a word of the dictionary or a connector.
+def may_mention(text: Column) -> Column:
+    """Whether chunks of a text may hold a word of the dictionary or a connector.
 
     One automaton reads batches of texts once, where each word costs a pass over them. Words
-    of a chunk have one space between them, those of a text any white space.
+    of a chunk have one space between them, those of a text any white space. Texts with a letter outside
+    ASCII that may count as ``i`` or ``s`` may.
     """
-    words = [*[word for word, _ in DICTIONARY], *fv.CONNECTOR_WORDS, *_ODD_LETTERS]
-    pattern = "|".join(r"[\t-\r\x1c-\x1f\x{85}\pZ]+".join(map(re.escape, word.split(" "))) for word in words)
+    space = r"[\t-\r\x1c-\x1f\x{85}\pZ]+"
+    words = [space.join(map(re.escape, w.split(" "))) for w in [*[word for word, _ in DICTIONARY], *fv.CONNECTOR_WORDS]]
+    pattern = f"(?i:{'|'.join(words)})|[\u0130\u0131\u017f]"
 
     @F.arrow_udf("boolean")
     def found(texts: pa.Array) -> pa.Array:
         return pc.match_substring_regex(texts, pattern)
 
-    return found(lower)
+    return found(text)
 
 
 def causal_pairs(text: Column, connected: Column) -> Column:

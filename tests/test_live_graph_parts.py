@@ -4,6 +4,7 @@ import itertools
 import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import Row, functions as F
 
@@ -142,14 +143,14 @@ def test_texts_of_one_version_that_differ_give_each_chunk_once(few, tmp_path):
 
 def test_texts_that_may_connect_hold_all_that_do(spark):
     words = ["caused", "LEADS TO", "Lead to", "led to", "reſulted in", "RESULTED İN", "resulted ın", "TRİGGERED", "calm", "lead  to"]
-    texts = [(f"redis down {w} payment failure",) for w in words] + [(None,), ("",)]
+    texts = [(f"redis down {w} payment failure",) for w in words] + [(None,), ("",), ("This is his ship.",)]
     found = spark.createDataFrame(texts, "text string").withColumn("lower", F.lower("text")).select(
         "text", F.col("text").rlike("(?iU)" + fv.CONNECTORS).alias("does"), extraction.may_connect(F.col("lower")).alias("may"),
-        extraction.may_mention(F.col("lower")).alias("mentions"),
+        extraction.may_mention(F.col("text")).alias("mentions"),
     ).collect()
     assert all(r.may for r in found if r.does) and sum(bool(r.does) for r in found) == 8
     assert [r.text for r in found if r.may and not r.does] == []
-    assert [r.text for r in found if not r.mentions] == [None, ""]
+    assert [r.text for r in found if not r.mentions] == [None, "", "This is his ship."]
 
 
 def test_texts_whose_chunks_mention_something_may(spark):
@@ -160,8 +161,27 @@ def test_texts_whose_chunks_mention_something_may(spark):
     for i in range(400):
         said = " ".join(rnd.choice(words) for _ in range(3 if i % 2 else 12))
         rows.append((str(i), "".join(rnd.choice(gaps) if c == " " else c for c in said) if i else None))
-    texts = spark.createDataFrame(rows, "id string, text string").withColumn("mentions", extraction.may_mention(F.lower("text")))
+    texts = spark.createDataFrame(rows, "id string, text string").withColumn("mentions", extraction.may_mention(F.col("text")))
     chunks = chunking.with_chunk_id(chunking.chunk_texts(texts, "id", "mentions", size=400).withColumn("document_id", F.col("id")))
     found = extraction.heuristic_extraction(chunks).select("mentions", F.size("entities").alias("n")).collect()
     assert all(r.mentions for r in found if r.n) and sum(r.n > 0 for r in found) > 300
     assert sum(not r.mentions for r in found) == sum(r.n == 0 and not r.mentions for r in found) > 10
+
+
+def test_rows_of_a_part_may_come_in_several_frames():
+    versions = live_graph.VersionsOfParts()
+    versions.rows, versions.size = Map(), Value()
+    columns = ["part", "investigation_id", "document_id", "doc_seq", "text", "at", "found"]
+
+    def send(*frames):
+        made = [pd.DataFrame([(0, "i", *row) for row in rows], columns=columns, dtype=object) for rows in frames]
+        return [row for out in versions.handleInputRows((0,), iter(made), None) for row in out.to_dict("records")]
+
+    said = json.dumps({"entities": [{"name": "Redis", "type": "DATABASE"}], "relations": []})
+    first = send([("a", "1", "calm", None, None)], [("a", "2", "redis", "0,0,1", said), ("b", "1", "calm", None, None)])
+    assert [(r["document_id"], r["doc_seq"], r["text"], r["start"]) for r in first] == [("a", "2", "redis", 1), ("b", "1", "calm", 0)]
+    assert send([("a", "2", "redis", "0,0,1", said)], [("a", "1", "calm", None, None)]) == []
+    new, gone = send([("a", "3", "calm", None, None)])
+    assert (new["text"], new["at"], new["found"]) == ("calm", None, None)
+    assert (gone["doc_seq"], gone["text"], gone["at"]) == ("3", None, None)
+    assert json.loads(gone["found"])["entities"] == [{"name": "Redis", "type": None}]
